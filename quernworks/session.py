@@ -88,3 +88,10 @@ def _clean() -> None:
             drop_path(spark, path)
         except Exception:  # the session may have ended before; the folder is scratch
             return
+
+
+def sized(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """A table from ``written``, to be broadcast if its files are small, else joined by a shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if path_size(df.sparkSession, df._scratch) <= most_bytes else df
