@@ -171,3 +171,22 @@ def char_counts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     heads = np.zeros(len(buf) + 1, np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=heads[1:])
     return heads[ends] - heads[starts]
+
+
+def lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the \\n-split lines of all texts, and how many each text has; an empty text has one."""
+    n = len(offs) - 1
+    breaks = np.flatnonzero(buf == 0x0A)
+    count = np.diff(np.searchsorted(breaks, offs)) + 1
+    last = np.cumsum(count) - 1
+    starts = np.empty(count.sum(), np.int64)
+    ends = np.empty_like(starts)
+    inner = np.ones(len(starts), bool)
+    inner[last] = False
+    ends[inner], ends[last] = breaks, offs[1:]
+    first = last - count + 1
+    inner[:] = True
+    inner[first] = False
+    starts[inner], starts[first] = breaks + 1, offs[:-1]
+    assert len(count) == n
+    return starts, ends, count
