@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import fingerprints, linededup, mixing, packing, quality, substrings, urlfilter
+from . import fingerprints, jaccard, linededup, mixing, packing, quality, substrings, suffixtree, urlfilter
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,6 +32,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -47,7 +55,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_source_mixing, op3_url_filters, op4_substring_dedup, op8_line_dedup, op9_quality_rules, op10_document_fingerprints)
+    f.__name__: f for f in (op1_packing, op2_source_mixing, op3_url_filters, op4_substring_dedup, op5_suffix_tree_scores, op7_ngram_jaccard_join, op8_line_dedup, op9_quality_rules, op10_document_fingerprints)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -21,7 +21,7 @@ def sha(text):
 
 
 def substring(docs, k=13):
-    """{position of the row: (n_words, n_removed, sha)} of rows (doc_id, text)."""
+    """(doc_id, n_words, n_removed, sha) of rows (doc_id, text)."""
     first = {}
     for d, t in docs:
         w = words(t)
@@ -80,7 +80,7 @@ def shingles(text, k=5):
 
 
 def components(docs):
-    """{doc_id: (n_shingles, component_id)} by comparing everything that shares a shingle."""
+    """(doc_id, n_shingles, component_id) by comparing everything that shares a shingle."""
     sets = [(d, shingles(t)) for d, t in docs]
     at = defaultdict(list)
     for i, (_, s) in enumerate(sets):
@@ -98,11 +98,6 @@ def components(docs):
         for a in range(len(rows)):
             for b in range(a):
                 shared[rows[b], rows[a]] += 1
-    by_id = {}
-    for i, (d, _) in enumerate(sets):
-        if d in by_id:
-            root[find(i)] = find(by_id[d])
-        by_id.setdefault(d, i)
     for (a, b), n in shared.items():
         if 100 * n >= 75 * (len(sets[a][1]) + len(sets[b][1]) - n):
             root[find(a)] = find(b)
