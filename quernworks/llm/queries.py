@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import fingerprints, jaccard, linededup, mixing, packing, quality, substrings, suffixtree, urlfilter
+from . import fingerprints, jaccard, linededup, mixing, packing, quality, substrings, suffixtree, urlfilter, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -36,6 +36,11 @@ def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,10 +60,11 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_source_mixing, op3_url_filters, op4_substring_dedup, op5_suffix_tree_scores, op7_ngram_jaccard_join, op8_line_dedup, op9_quality_rules, op10_document_fingerprints)
+    f.__name__: f for f in (op1_packing, op2_source_mixing, op3_url_filters, op4_substring_dedup, op5_suffix_tree_scores, op6_warc_round_trip, op7_ngram_jaccard_join, op8_line_dedup, op9_quality_rules, op10_document_fingerprints)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": urlfilter.SQL,
+    "op6_warc_round_trip": warc.SQL,
     "op8_line_dedup": linededup.SQL,
 }
