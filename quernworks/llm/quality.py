@@ -185,7 +185,7 @@ def robust_distances(rows: DataFrame, least_rows: int = 200, share: float = 0.75
     return named.join(sized(found), "gid").withColumn("distance", _distance()).drop("mean", "inverse", "gid")
 
 
-def judge(docs: DataFrame, least_words: int = 20, most_repeats: int = 30, tail: float = 1e-9, **options) -> DataFrame:
+def judge(docs: DataFrame, least_words: int = 20, most_repeats: int = 30, tail: float = 1e-7, **options) -> DataFrame:
     """The statistics of each document with base_failed, distance and kept.
 
     base_failed: under ``least_words`` words, or over ``most_repeats`` percent of words in repeated
