@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import sized, written
 from .bloom import filter_of, size_for
-from .textops import Words, chunks, covered, sliding_min, text_buffer, windows
+from .textops import Words, chunks, sliding_min, text_buffer, windows
 
 LAST = (1 << 63) - 1
 WINDOW = 13
@@ -120,6 +120,22 @@ def longest_repeats(docs: DataFrame, k: int = WINDOW, **options) -> DataFrame:
     return out.groupBy("key", "tie").agg(F.max("words").alias("words")).select(F.nullif("key", F.lit(LAST)).alias("doc_id"), "tie", "words")
 
 
+def _as_spans(gone: DataFrame, k: int) -> DataFrame:
+    """(key, tie, lo, hi): the word ranges that windows beginning at ``at`` cover, merged where they meet."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lows, highs = [], []
+            for at in batch.column("at"):
+                at = np.unique(at.values.to_numpy())
+                fresh = np.append(True, np.diff(at) > k)
+                lows.append(at[fresh])
+                highs.append(at[np.append(fresh[1:], True)] + k)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("tie"), pa.array(lows, pa.list_(pa.int32())), pa.array(highs, pa.list_(pa.int32()))], names=["key", "tie", "lo", "hi"])
+
+    return gone.mapInArrow(merge, "key bigint, tie bigint, lo array<int>, hi array<int>")
+
+
 def remove_repeats(docs: DataFrame, k: int = WINDOW, **options) -> DataFrame:
     """Per row doc_id, n_words, n_removed, kept_text and kept_sha256 (of the kept words with single spaces).
 
@@ -130,22 +146,22 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, **options) -> DataFrame:
     """
     spark = docs.sparkSession
     gone = repeated_windows(docs, k, **options).filter("key > first").groupBy("key", "tie").agg(F.collect_list("at").alias("at"))
-    gone = sized(written(spark, gone.withColumnsRenamed({"key": "_key", "tie": "_tie"}), "windows-gone"))
+    gone = sized(written(spark, _as_spans(gone, k).withColumnsRenamed({"key": "_key", "tie": "_tie"}), "words-gone"))
     rows = docs.select("doc_id", "text").withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "_at": F.xxhash64("text")})
-    rows = rows.join(gone, (F.col("_id") == F.col("_key")) & (F.col("_at") == F.col("_tie")), "left").select("doc_id", "text", "at")
+    rows = rows.join(gone, (F.col("_id") == F.col("_key")) & (F.col("_at") == F.col("_tie")), "left").select("doc_id", "text", "lo", "hi")
     schema = rows.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("kept_sha256", "string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = text_buffer(batch.column("text"))
-            raw, at = buf.tobytes(), batch.column("at")
+            raw, lows, highs = buf.tobytes(), batch.column("lo"), batch.column("hi")
             total, removed, kept = [], [], []
             for i in range(len(offs) - 1):
                 words = raw[offs[i] : offs[i + 1]].split()  # of bytes: at the six characters
                 n = len(words)
-                if at[i].is_valid:
-                    stay = ~covered(n, at[i].values.to_numpy(), k)
-                    words = list(compress(words, stay.tolist()))
+                if lows[i].is_valid:
+                    edges = [0, *chain.from_iterable(zip(lows[i].as_py(), highs[i].as_py(), strict=True)), n]
+                    words = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
                 total.append(n)
                 removed.append(n - len(words))
                 kept.append(b" ".join(words))

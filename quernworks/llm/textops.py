@@ -159,13 +159,6 @@ def sliding_min(h: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(h[:n], h[k - at : k - at + n])
 
 
-def covered(n: int, starts: np.ndarray, k: int) -> np.ndarray:
-    """Which of n items lie in a window of k items that begins at one of starts."""
-    edge = np.bincount(starts, minlength=n + k + 1)[: n + k + 1].astype(np.int64)
-    edge[k:] -= edge[:-k].copy() if k else 0
-    return np.cumsum(edge)[:n] > 0
-
-
 def char_counts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Code points of each slice of valid UTF-8."""
     heads = np.zeros(len(buf) + 1, np.int64)
