@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import sized, written
 from .bloom import seen_twice, size_for
-from .textops import Words, char_counts, chunks, hash_slices, lines, text_buffer
+from .textops import Words, char_counts, chunks, hash_slices, lines, mix, text_buffer
 
 #: Stands for a null id, after all others.
 LAST = (1 << 63) - 1
@@ -36,6 +36,11 @@ def _line_keys(buf: np.ndarray, offs: np.ndarray, least: int, seeds: tuple[int,
     return at[long], [hash_slices(words.buf, a[long], (b - a)[long], s) for s in seeds], count
 
 
+def _own(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes of keys within a batch's texts."""
+    return mix(keys ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+
+
 def _keys(batch: pa.RecordBatch, least: int, seeds: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Texts and hashes of the distinct keys of each text."""
     buf, offs = text_buffer(batch.column("text"))
@@ -104,13 +109,21 @@ def drop_repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, **options) ->
             kept = [raw[offs[i] : offs[i + 1]] for i in range(n)]
             n_lines = np.array([k.count(b"\n") + 1 for k in kept], np.int64)
             n_dropped = np.zeros(n, np.int64)
-            some = [i for i in range(n) if drop[i].is_valid]
-            for i in some:
-                own = np.arange(offs[i], offs[i + 1])
-                at, (keys,), _ = _line_keys(buf[own[0] : own[-1] + 1], np.array([0, len(own)]), least, (0,))
-                gone = {int(j) for j in at[np.isin(keys, np.array(drop[i].as_py(), np.int64).view(np.uint64))]}
-                n_dropped[i] = len(gone)
-                kept[i] = b"\n".join(x for j, x in enumerate(kept[i].split(b"\n")) if j not in gone)
+            some = []
+            of = np.repeat(np.arange(n), np.diff(drop.offsets.to_numpy()))
+            wanted = np.sort(_own(drop.flatten().to_numpy().view(np.uint64), of))
+            for lo, hi in chunks(offs) if len(of) else ():
+                at, (keys,), count = _line_keys(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], least, (0,))
+                doc = np.repeat(np.arange(lo, hi), count)[at]
+                first = np.append(0, np.cumsum(count))[doc - lo]
+                hit = np.isin(_own(keys, doc), wanted)
+                doc, place = doc[hit], (at - first)[hit]
+                edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
+                for i, gone in zip(doc[edges].tolist(), np.split(place, edges[1:]), strict=True):
+                    split, gone = kept[i].split(b"\n"), set(gone.tolist())
+                    kept[i] = b"\n".join([x for j, x in enumerate(split) if j not in gone])
+                    n_dropped[i] = len(gone)
+                    some.append(i)
             columns = {c: batch.column(c) for c in names}
             if some:
                 changed = {i: kept[i].decode() for i in some}
