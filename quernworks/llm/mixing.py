@@ -7,7 +7,7 @@ source takes its block r, beginning again after the last, until the source's tar
 that the finite schedule falls short of a target (its discrepancy, some log of its length) come last.
 
 All ranks and positions are sums over bounded pieces: of at most 65,536 slots, and of hash ranges of
-a source of about 4,096 documents. So a source that holds most rows is spread like the rest.
+a source of about 512 documents. So a source that holds most rows is spread like the rest.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 _PHI, _PERIOD = 1327217885, 1 << 31
 _CELLS = 4096
 _SLOTS_A_CHUNK = 1 << 16
-_DOCS_A_BUCKET = 4096
+_DOCS_A_BUCKET = 512
 
 
 def word_count(text: Column) -> Column:
