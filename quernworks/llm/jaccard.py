@@ -143,39 +143,75 @@ def _frequent(base: DataFrame, log_bits: int) -> Filter:
     return filter_of(seen.filter(F.col("times") >= _OFTEN), "token", log_bits)
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, similarity, linked) of pairs (a, b) of classes, from their whole sets."""
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """One bit a token by its hash, in four to eight times as many bits as tokens, from 256 to 8192."""
+    bits = np.zeros(min(8192, max(256, 1 << (4 * len(tokens) - 1).bit_length())), bool)
+    bits[(tokens >> np.uint64(20)) % np.uint64(len(bits))] = True
+    return np.packbits(bits).tobytes()
+
+
+def _missing(x: np.ndarray, y: np.ndarray) -> int:
+    """Tokens of x's set that y's lacks, at least: bits of x that y has not, the larger one folded to y's size."""
+    while len(x) > len(y):
+        x = x.reshape(2, -1)[0] | x.reshape(2, -1)[1]
+    while len(y) > len(x):
+        y = y.reshape(2, -1)[0] | y.reshape(2, -1)[1]
+    return int(np.bitwise_count(x & ~y).sum())
+
+
+def _fetched(texts: DataFrame, pairs: DataFrame, name: str, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """pairs with (n, data) of both sides' sets as na, da, nb, db; data is made from a set's ascending tokens."""
     spark = texts.sparkSession
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    wanted = written(spark, wanted, "jaccard-wanted")
+    wanted = written(spark, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), f"{name}-wanted")
     mark = spark.sparkContext.broadcast(filter_of(wanted, "sig", size_for(wanted.count())))
 
     def fetch(sets: ShingleSets, _: dict) -> pa.RecordBatch:
         at = sets.first_of_class()
         at = at[mark.value.test(sets.sig[at].view(np.uint64))]
-        return _batch(sig=sets.sig[at], tokens=pa.array([sets.tokens[sets.bounds[i] : sets.bounds[i + 1]].tobytes() for i in at], pa.binary()))
+        data = [make(sets.tokens[sets.bounds[i] : sets.bounds[i + 1]]) for i in at]
+        return _batch(sig=sets.sig[at], n=sets.size[at].astype(np.int64), data=pa.array(data, pa.binary()))
+
+    found = _each_chunk(texts, "sig bigint, n bigint, data binary", fetch).join(wanted, "sig", "left_semi")
+    found = written(spark, found.groupBy("sig", "n").agg(F.first("data").alias("data")), f"{name}-data")
+    side = lambda k: found.withColumnsRenamed({"sig": k, "n": f"n{k}", "data": f"d{k}"})
+    return pairs.join(side("a"), "a").select("a", "b", "na", "da").join(side("b"), "b").select("a", "b", "na", "da", "nb", "db")
+
 
-    found = _each_chunk(texts, "sig bigint, tokens binary", fetch).join(wanted, "sig", "left_semi")
-    found = written(spark, found.groupBy("sig").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
-    both = pairs.join(found.withColumnsRenamed({"sig": "a", "tokens": "ta"}), "a")
-    both = both.select("a", "b", "ta").join(found.withColumnsRenamed({"sig": "b", "tokens": "tb"}), "b").select("a", "b", "ta", "tb")
+def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, near, far, linked) of pairs of classes: bounds of their distance 1 - similarity, and whether they link.
+
+    First by bitmaps of the sets: bits that only one has bound the tokens that both can share. Pairs
+    that could link by that bound are compared by their whole sets, and have near = far.
+    """
+    spark = texts.sparkSession
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            most = np.empty(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("da"), batch.column("db"), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                most[i] = min(na[i] - _missing(x, y), nb[i] - _missing(y, x))
+            union = na + nb - most
+            yield _batch(a=batch.column("a"), b=batch.column("b"), near=1 - most / union, maybe=100 * most >= percent * union)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, na, nb = [], [], []
-            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            shared = np.empty(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("da"), batch.column("db"), strict=True)):
+                x, y = sorted((np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)), key=len)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                shared.append(int((y[at] == x).sum()))
-                na.append(len(x))
-                nb.append(len(y))
-            yield _batch(a=batch.column("a"), b=batch.column("b"), shared=np.array(shared, np.int64), low=np.array(na, np.int64), high=np.array(nb, np.int64))
+                shared[i] = (y[at] == x).sum()
+            union = na + nb - shared
+            away = 1 - shared / union
+            yield _batch(a=batch.column("a"), b=batch.column("b"), near=away, far=away, linked=100 * shared >= percent * union)
 
-    out = both.mapInArrow(compare, "a bigint, b bigint, shared bigint, low bigint, high bigint")
-    union = F.col("low") + F.col("high") - F.col("shared")
-    return out.select("a", "b", (F.col("shared") / union).alias("similarity"), (100 * F.col("shared") >= percent * union).alias("linked"))
+    first = _fetched(texts, pairs, "jaccard-bits", _bitmap).mapInArrow(bound, "a bigint, b bigint, near double, maybe boolean")
+    first = written(spark, first, "jaccard-bound")
+    exact = _fetched(texts, first.filter("maybe").select("a", "b"), "jaccard-sets", lambda t: t.tobytes()).mapInArrow(compare, "a bigint, b bigint, near double, far double, linked boolean")
+    return exact.unionByName(first.filter("not maybe").select("a", "b", "near", F.lit(1.0).alias("far"), F.lit(False).alias("linked")))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -217,12 +253,13 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, D
     named = lambda df, col, out: df.join(labels.withColumnsRenamed({"node": col, "label": out}), col, "left").withColumn(out, F.coalesce(out, col))
     wide = posts.join(named(hubs.filter("many > 2"), "hub", "hub_label").drop("hub_n", "many"), "key").filter("sig != hub")
     wide = named(wide, "sig", "label")
-    known = star.select(F.col("a").alias("hub"), F.col("b").alias("sig"), (1 - F.col("similarity")).alias("far"))
-    wide = written(spark, wide.join(known, ["hub", "sig"], "left").select("key", "sig", "n", "label", "far", (F.col("label") != F.col("hub_label")).alias("out")), "jaccard-wide")
-    left = wide.filter("out").select("key", F.col("sig").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), F.col("far").alias("a_far"))
+    known = star.select(F.col("a").alias("hub"), F.col("b").alias("sig"), "near", "far")
+    wide = written(spark, wide.join(known, ["hub", "sig"], "left").select("key", "sig", "n", "label", "near", "far", (F.col("label") != F.col("hub_label")).alias("out")), "jaccard-wide")
+    left = wide.filter("out").select("key", F.col("sig").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), F.col("near").alias("a_near"), F.col("far").alias("a_far"))
     most = 1 - percent / 100 + 1e-9
     rest = left.join(wide, "key").filter((F.col("label") != F.col("a_label")) & (~F.col("out") | (F.col("a") < F.col("sig"))) & alike(F.col("n"), F.col("a_n")))
-    rest = rest.filter(F.coalesce(F.abs(F.col("a_far") - F.col("far")) <= most, F.lit(True)))
+    apart = F.greatest(F.col("a_near") - F.col("far"), F.col("near") - F.col("a_far"))
+    rest = rest.filter(F.coalesce(apart <= most, F.lit(True)))
     rest = rest.select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
     rest = written(spark, rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     links = star.filter("linked").select("a", "b")
