@@ -23,8 +23,10 @@ def quantile(x: Column | str, p: float) -> Column:
 def tertile_bounds(df: DataFrame, score: str) -> tuple[Column, Column]:
     """The scores' lower and upper tertile as scalar columns; NaN if any score is NaN."""
     any_nan = F.coalesce(F.bool_or(F.isnan(score)), F.lit(False))
-    bound = lambda p: df.agg(F.when(any_nan, F.lit(float("nan"))).otherwise(quantile(score, p))).scalar()
-    return bound(1 / 3), bound(2 / 3)
+    both = F.percentile(score, F.array(F.lit(1 / 3), F.lit(2 / 3)))
+    nan = F.array(F.lit(float("nan")), F.lit(float("nan")))
+    found = df.agg(F.when(any_nan, nan).otherwise(both)).scalar()  # one subquery for both
+    return F.get(found, F.lit(0)), F.get(found, F.lit(1))
 
 
 def with_tertile_bins(df: DataFrame, score: str, out: str = "difficulty_bin") -> DataFrame:
