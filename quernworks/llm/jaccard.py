@@ -13,7 +13,8 @@ first n - ceil(t n) + 1 of each, and k tokens among the first n - ceil(t n) + k
 Which tokens are frequent only decides the order, so a Bloom filter of them may err without harm.
 
 Equal sets are one class. The classes that share a key are not all compared with each other: all are
-verified against the least of them, the hub; classes that end up in the hub's component need no more,
+verified against the least of them, the hub, and in a few more rounds against one of another
+component; classes that end up in the hub's component need no more,
 and the others are compared with all of other components that the distances from the hub, a metric,
 leave possible.
 """
@@ -35,8 +36,10 @@ from .textops import Words, chunks, join2, mix, text_buffer, windows
 LAST = (1 << 63) - 1
 SHINGLE = 5
 SMALL = 64
-#: Documents of one batch, and of all batches that show it so often, that make a token frequent.
-_OFTEN_HERE, _OFTEN = 3, 8
+#: Tokens are frequent that a task saw so often among so many, and all tasks so often in sum.
+_OFTEN_HERE, _TALLY, _OFTEN = 2, 8 << 20, 8
+#: Rounds in which one more class of each key is compared with the classes of other components.
+_ROUNDS = 4
 
 
 class ShingleSets:
@@ -128,18 +131,31 @@ def _batch(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
 
 
 def _frequent(base: DataFrame, log_bits: int) -> Filter:
-    """Tokens that many documents hold, by lossy counting: each chunk hands on those it sees several times."""
+    """Tokens that many documents hold, by lossy counting: a task hands on, every few million tokens, those it saw twice."""
 
-    def count(sets: ShingleSets, _: dict) -> pa.RecordBatch:
-        pick = np.zeros(len(sets.size), bool)
-        pick[sets.first_of_class()] = True
-        tokens = np.sort(sets.tokens[pick[sets.doc]])
+    def tally(parts: list[np.ndarray]) -> pa.RecordBatch:
+        tokens = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
         first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
         times = np.diff(np.append(first, len(tokens)))
         some = times >= _OFTEN_HERE
         return _batch(token=tokens[first[some]].view(np.int64), times=times[some].astype(np.int64))
 
-    seen = _each_chunk(base.select("text"), "token bigint, times bigint", count).groupBy("token").agg(F.sum("times").alias("times"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            buf, offs = text_buffer(batch.column("text"))
+            for lo, hi in chunks(offs):
+                sets = ShingleSets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                pick = np.zeros(len(sets.size), bool)
+                pick[sets.first_of_class()] = True
+                parts.append(sets.tokens[pick[sets.doc]])
+                size += len(parts[-1])
+                if size >= _TALLY:
+                    yield tally(parts)
+                    parts, size = [], 0
+        yield tally(parts)
+
+    seen = base.select("text").mapInArrow(count, "token bigint, times bigint").groupBy("token").agg(F.sum("times").alias("times"))
     return filter_of(seen.filter(F.col("times") >= _OFTEN), "token", log_bits)
 
 
@@ -249,8 +265,25 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, D
     star = written(spark, _verified(sets, tried, percent), "jaccard-star")
     labels = component_labels(star.filter("linked").select("a", "b"))
 
-    # what is not in its hub's component yet, against the rest of the key
     named = lambda df, col, out: df.join(labels.withColumnsRenamed({"node": col, "label": out}), col, "left").withColumn(out, F.coalesce(out, col))
+    links, shared_keys = star.filter("linked").select("a", "b"), posts.join(hubs.filter("many > 2").select("key"), "key", "left_semi")
+    for _ in range(_ROUNDS):
+        # a further hub for each key that still has several components: one of another than the least
+        rows_ = written(spark, named(shared_keys, "sig", "label"), "jaccard-labelled")
+        split = rows_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("sig", "label").alias("next"), F.max_by("n", "label").alias("next_n")).filter("low < high")
+        more = rows_.join(written(spark, split, "jaccard-next"), "key").filter((F.col("label") != F.col("high")) & alike(F.col("n"), F.col("next_n")))
+        more = more.select(F.least("sig", "next").alias("a"), F.greatest("sig", "next").alias("b")).distinct()
+        more = written(spark, more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+        if more.isEmpty():
+            break
+        tried = written(spark, tried.union(more), "jaccard-tried")
+        found = written(spark, _verified(sets, more, percent).filter("linked").select("a", "b"), "jaccard-found")
+        if found.isEmpty():
+            break
+        links = written(spark, links.union(found), "jaccard-links")
+        labels = component_labels(links)
+
+    # what is not in its hub's component yet, against the rest of the key
     wide = posts.join(named(hubs.filter("many > 2"), "hub", "hub_label").drop("hub_n", "many"), "key").filter("sig != hub")
     wide = named(wide, "sig", "label")
     known = star.select(F.col("a").alias("hub"), F.col("b").alias("sig"), "near", "far")
@@ -262,7 +295,6 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, D
     rest = rest.filter(F.coalesce(apart <= most, F.lit(True)))
     rest = rest.select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
     rest = written(spark, rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    links = star.filter("linked").select("a", "b")
     if not rest.isEmpty():
         links = written(spark, links.union(_verified(sets, rest, percent).filter("linked").select("a", "b")), "jaccard-links")
         labels = component_labels(links)
