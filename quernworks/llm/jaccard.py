@@ -231,9 +231,11 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, tie, n_shingles, sig, component) of all documents, and links (a, b) between classes.
+    """Rows (key, tie, n_shingles, sig, label, component) of all documents, and links (a, b) between classes.
 
-    key is the id (LAST for null) and tie the hash of the text; component is the least key reachable.
+    key is the id (LAST for null) and tie the hash of the text; label is the least class reachable, null
+    for the empty set, and component the least key reachable: ids may be null or equal, so only the
+    label tells components apart.
     """
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"), F.xxhash64("text").alias("tie"), "text")
@@ -303,7 +305,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, D
     classes = classes.join(labels, classes.sig == labels.node, "left").select("sig", "least", F.coalesce("label", "sig").alias("label"))
     classes = written(spark, classes, "jaccard-classes")
     least = classes.groupBy("label").agg(F.min("least").alias("component"))
-    of = classes.select("sig", "label").join(least, "label").select("sig", "component")
+    of = classes.select("sig", "label").join(least, "label").select("sig", "label", "component")
     out = rows.join(written(spark, of, "jaccard-of"), "sig", "left").withColumn("component", F.coalesce("component", "key"))
     return out, links
 
@@ -323,15 +325,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each component: that of the least id, of rows of equal id one.
 
-    Documents with an empty set stay.
+    A null id stands after all others. Documents with an empty set all stay, repeated ones too.
     """
     spark = docs.sparkSession
     out, _ = jaccard_components(docs, percent)
     full = out.filter("n_shingles > 0")
-    stays = full.filter("key = component").groupBy("component").agg(F.min("tie").alias("tie"))
-    gone = full.join(stays.withColumnRenamed("tie", "stay"), "component").filter("key != component or tie != stay")
-    gone = sized(written(spark, gone.select(F.col("key").alias("__q_key"), F.col("tie").alias("__q_tie")).distinct(), "jaccard-gone"))
+    stays = full.groupBy("label").agg(F.min(F.struct("key", "tie")).alias("stay"))
+    marked = full.groupBy("label", "key", "tie").agg(F.count(F.lit(1)).alias("__q_many")).join(stays, "label")
+    marked = marked.select(F.col("key").alias("__q_key"), F.col("tie").alias("__q_tie"), (F.struct("key", "tie") != F.col("stay")).alias("__q_gone"), "__q_many")
+    marked = written(spark, marked.filter("__q_gone or __q_many > 1"), "jaccard-marked")
     marks = {"__q_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "__q_at": F.xxhash64("text")}
-    kept = docs.withColumns(marks).join(gone, (F.col("__q_id") == F.col("__q_key")) & (F.col("__q_at") == F.col("__q_tie")), "left_anti").drop("__q_id", "__q_at")
-    again = full.groupBy("key", "tie").count().filter("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    same = (F.col("__q_id") == F.col("__q_key")) & (F.col("__q_at") == F.col("__q_tie"))
+    kept = docs.withColumns(marks).join(sized(marked), same, "left").filter("not coalesce(__q_gone, false)").drop("__q_key", "__q_tie", "__q_gone")
+    if marked.filter("not __q_gone").isEmpty():
+        return kept.drop("__q_id", "__q_at", "__q_many")
+    once = kept.filter("__q_many is not null").dropDuplicates(["__q_id", "__q_at"])
+    return kept.filter("__q_many is null").unionByName(once).drop("__q_id", "__q_at", "__q_many")

@@ -299,6 +299,15 @@ def test_jaccard(small, spark, tricky, empty, percent):
     assert kept.columns == tricky.columns and sorted(r.doc_id for r in kept.filter("doc_id in (15, 16)").collect()) == [15]
 
 
+def test_one_of_each_keeps_unrelated_rows_of_null_and_equal_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c") + " more"), (4, text("d")), (4, text("e")), (4, text("e")), (9, text("d") + " x"), (8, ""), (8, ""), (None, None), (None, None)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert found.pop((None, text("c")), 0) + found.pop((None, text("c") + " more"), 0) == 1
+    assert found == Counter([(None, text("a")), (None, text("b")), (4, text("d")), (4, text("e")), (8, ""), (8, ""), (None, None), (None, None)])
+
+
 def test_line_dedup(small, spark, tricky, empty):
     columns = ("doc_id", "n_lines", "n_dropped", "kept_sha256")
     df = spark.createDataFrame(small, "doc_id bigint, text string")
