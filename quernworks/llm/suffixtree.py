@@ -1,15 +1,17 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-States are contexts of no, one or two words before a word. A context is kept as a state if it makes
-up a stated share of all training tokens and its next-word distribution diverges from that of its
-suffix (Kullback-Leibler). A state has the next words that with it make up a stated share of all
-tokens; their probabilities are smoothed towards the suffix's, and the rest of the state's mass goes
-to all other words in the suffix's proportions. A word is scored by the longest suffix of what stands
-before it that is a state. The root is the smoothed unigram distribution, with one unseen word.
-
-Because shares bound how many states and next words there can be (1 / share a level), the tree has a
-size bound whatever the corpus, and goes to the executors whole. Counts are over all training tokens.
-Words too rare for the tree's word list are scored by a join with the table of all counts.
+States are contexts of no, one or two words before a word. A context is kept as a state if its
+next-word distribution diverges from that of its suffix (Kullback-Leibler). A state has the next words
+seen with it a stated number of times; their probabilities are smoothed towards the suffix's, and the
+rest of the state's mass goes to all other words in the suffix's proportions. A word is scored by the
+longest suffix of what stands before it that is a state. The root is the smoothed unigram distribution,
+with one unseen word.
+
+The support is a number of sightings, not a share, so the tree grows with the corpus. It lives in
+tables that are grouped and joined by hash, and never comes to the driver. A score is a sum over a
+text's words, pairs and triples: each run of words has a weight, by which it changes what its parts
+say. Only the most frequent runs, of a stated number, go to the executors as a list; the rest are
+scored by a join, and a Bloom filter of them, of bounded size, keeps most unknown runs out of it.
 """
 
 from __future__ import annotations
@@ -22,18 +24,22 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import written
-from .textops import Words, chunks, text_buffer
+from .bloom import Filter, filter_of, size_for
+from .textops import Words, chunks, join2, text_buffer
 
 #: The end of a text, as a word hash.
 END = np.uint64(0xA24BAED4963EE407)
+_END = int(END.view(np.int64))
 
 
 @dataclass
 class Tree:
-    """words: the frequent words' hashes, ascending, with counts. Level d has, for contexts of d words:
-    contexts (codes, ascending) with log_rest, and edges (context's place * words + word) with log_p."""
+    """words: the words' hashes, ascending, with counts. Level d has, for contexts of d words: contexts
+    (codes, ascending) with log_rest and their suffix's place a level below, and edges (context's place
+    * words + word) with log_p."""
 
     words: np.ndarray
     counts: np.ndarray
@@ -43,10 +49,11 @@ class Tree:
 
     @property
     def log_z(self) -> float:
-        return float(np.log10(self.total + 0.5 * (self.distinct + 1)))
+        return _log_z(self.total, self.distinct)
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        return _find(self.words, hashes)
+
+def _log_z(total: int, distinct: int) -> float:
+    return float(np.log10(total + 0.5 * (distinct + 1)))
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -73,20 +80,17 @@ class Tokens:
         self.before = np.arange(len(self.hashes)) - self.bounds[self.doc]
 
 
-def _contexts(tree: Tree, tokens: Tokens, place: np.ndarray, level: int) -> np.ndarray:
-    """The place, among the contexts of ``level`` words, of what stands before each token; -1 for none.
+    def pairs(self) -> np.ndarray:
+        """Codes of the pairs that end at each token; meaningless where before is 0."""
+        out = self.hashes.copy()
+        out[1:] = join2(self.hashes[:-1], self.hashes[1:])
+        return out
 
-    The code of a context of two words is its first word's place and the place of the one-word context.
-    """
-    at = np.full(len(place), -1)
-    if level == 1:
-        at[1:] = np.where(tokens.before[1:] >= 1, _find(tree.levels[0]["contexts"], place[:-1]), -1)
-        return at
-    shorter = _contexts(tree, tokens, place, level - 1)
-    first = np.full(len(place), -1)
-    first[level:] = np.where(tokens.before[level:] >= level, place[:-level], -1)
-    code = np.where((shorter >= 0) & (first >= 0), first * max(1, len(tree.levels[level - 2]["contexts"])) + shorter, -1)
-    return np.where(code >= 0, _find(tree.levels[level - 1]["contexts"], code), -1)
+    def triples(self, pairs: np.ndarray) -> np.ndarray:
+        """Codes of the triples that end at each token; meaningless where before is under 2."""
+        out = self.hashes.copy()
+        out[1:] = join2(pairs[:-1], self.hashes[1:])
+        return out
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Tokens]]:
@@ -108,32 +112,122 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "code bigint, times bigint").groupBy("code").agg(F.sum("times").alias("times"))
 
 
-def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """code and times of a table with a size bound, ascending by code."""
-    found = df.select("code", "times").toArrow().combine_chunks()
-    code, times = found.column("code").to_numpy(), found.column("times").to_numpy()
-    order = np.argsort(code)
-    return code[order], times[order]
-
+def _run_counts(train: DataFrame, level: int, firsts: Filter, lasts: Filter) -> DataFrame:
+    """(context, word, times) of runs of ``level`` words and a word, by the context's code.
 
-def _level(train: DataFrame, tree: Tree, level: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(context's place * words + next word, times) of all pairs seen at least ``least`` times."""
-    shared = train.sparkSession.sparkContext.broadcast(tree)
-    often = tree.counts >= least
+    Left out are runs whose context is not in ``firsts``, or whose last ``level`` words are not in
+    ``lasts``: each must be as frequent as the run.
+    """
+    shared = train.sparkSession.sparkContext.broadcast((firsts, lasts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts = shared.value
+        for batch in batches:
+            contexts, words = [], []
+            for _, _, t in _chunks(batch):
+                shorter = t.hashes if level == 1 else t.pairs()
+                at = np.flatnonzero(t.before >= level)
+                at = at[firsts.test(shorter[at - 1])]
+                at = at[lasts.test(shorter[at])]
+                contexts.append(shorter[at - 1])
+                words.append(t.hashes[at])
+            context = np.concatenate(contexts) if contexts else np.zeros(0, np.uint64)
+            word = np.concatenate(words) if words else np.zeros(0, np.uint64)
+            _, first, times = np.unique(join2(context, word), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(times.astype(np.int64))], names=["context", "word", "times"])
+
+    return train.mapInArrow(count, "context bigint, word bigint, times bigint").groupBy("context", "word").agg(F.sum("times").alias("times"))
+
+
+def _coded(df: DataFrame, name: str, first: str, last: str) -> DataFrame:
+    """``df`` with the code of the run of two of its columns."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for _, _, tokens in _chunks(batch):
-                place = shared.value.places(tokens.hashes)
-                at = _contexts(shared.value, tokens, place, level)
-                hit = np.flatnonzero((at >= 0) & (place >= 0))
-                hit = hit[often[place[hit]]]
-                parts.append(at[hit] * len(shared.value.words) + place[hit])
-            yield _tally(parts)
+            a, b = (batch.column(c).to_numpy().view(np.uint64) for c in (first, last))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(join2(a, b).view(np.int64))], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(code, StructType([*df.schema.fields, StructField(name, LongType())]))
+
+
+def _states(edges: DataFrame, divergence: float) -> DataFrame:
+    """(context, log_rest) of the contexts that diverge; edges: context, p, parent (both probabilities)."""
+    sums = edges.groupBy("context").agg(F.sum("p").alias("own"), F.sum("parent").alias("theirs"), F.sum(F.col("p") * F.log(F.col("p") / F.col("parent"))).alias("gain"))
+    rest, theirs = F.greatest(1 - F.col("own"), F.lit(1e-12)), F.greatest(1 - F.col("theirs"), F.lit(1e-12))
+    return sums.filter(F.col("gain") + rest * F.log(rest / theirs) >= divergence).select("context", F.log10(rest / theirs).alias("log_rest"))
+
+
+@dataclass
+class Tables:
+    """The tree as tables: counts (code, times) of words; of each level states (context, log_rest, times,
+    suffix: the code of a one-word state or null) and edges (context, word, times, code, log_p, log_parent)."""
+
+    counts: DataFrame
+    total: int
+    distinct: int
+    levels: list[tuple[DataFrame, DataFrame]]
+
+
+def tables(train: DataFrame, counts: DataFrame, depth: int = 2, support: int = 5, divergence: float = 0.01, pull: float = 50.0) -> Tables:
+    """The tree of the ``text`` column of train; counts: (code, times) of all its words.
+
+    depth is 0, 1 or 2. ``support``: times a run is seen at least, whatever the size of the corpus.
+    """
+    if depth not in (0, 1, 2):
+        raise ValueError("contexts have at most two words")
+    spark = train.sparkSession
+    total, distinct = counts.agg(F.sum("times"), F.count(F.lit(1))).first()
+    out = Tables(counts, total or 0, distinct, [])
+    root = F.log10(F.col("times") + 0.5) - F.lit(_log_z(out.total, distinct))
+    # what a level's edges need of the shorter ones: seen of the context, and log_parent of the edge
+    often = written(spark, counts.filter(F.col("times") >= support).select("code", "times", root.alias("root")), "pst-words")
+    firsts = often.filter(F.col("code") != _END)
+    lasts = often
+    for level in range(1, depth + 1):
+        bits = [filter_of(x, "code", size_for(x.count())) for x in (firsts, lasts)]
+        runs = written(spark, _run_counts(train, level, *bits).filter(F.col("times") >= support), f"pst-runs{level}")
+        if level == 1:
+            seen = firsts.select(F.col("code").alias("context"), F.col("times").alias("seen"), F.lit(None).cast("bigint").alias("suffix"))
+            edges = runs.join(seen, "context").join(often.select(F.col("code").alias("word"), F.col("root").alias("log_parent")), "word")
+        else:
+            # the parent of (x, y) z is y z: an edge of the state y, or its rest and the root
+            states, pairs = out.levels[0]
+            seen = lasts.filter(F.col("word") != _END).join(states.select(F.col("context").alias("word"), "log_rest"), "word")
+            seen = seen.select(F.col("code").alias("context"), F.col("times").alias("seen"), F.col("word").alias("suffix"), F.col("log_rest").alias("suffix_rest"))
+            edges = _coded(runs.join(seen, "context"), "shorter", "suffix", "word")
+            edges = edges.join(pairs.select(F.col("code").alias("shorter"), F.col("log_p").alias("shorter_p")), "shorter", "left").join(often.select(F.col("code").alias("word"), "root"), "word")
+            edges = edges.withColumn("log_parent", F.coalesce("shorter_p", F.col("suffix_rest") + F.col("root")))
+        p = (F.col("times") + pull * F.pow(F.lit(10.0), "log_parent")) / (F.col("seen") + pull)
+        edges = written(spark, edges.select("context", "word", "times", "seen", "suffix", "log_parent", F.log10(p).alias("log_p")), f"pst-edges{level}")
+        probs = edges.select("context", F.pow(F.lit(10.0), "log_p").alias("p"), F.pow(F.lit(10.0), "log_parent").alias("parent"))
+        states = written(spark, _states(probs, divergence), f"pst-diverge{level}")
+        kept = edges.join(states, "context")
+        states = written(spark, kept.groupBy("context", "log_rest").agg(F.first("suffix").alias("suffix"), F.first("seen").alias("times")), f"pst-states{level}")
+        edges = written(spark, _coded(kept.select("context", "word", "times", "log_rest", "log_parent", "log_p"), "code", "context", "word"), f"pst-level{level}")
+        out.levels.append((states, edges))
+        if level == 1:
+            lasts = written(spark, _coded(runs, "code", "context", "word").select("code", "word", "times"), "pst-pairs")
+            firsts = lasts.filter(F.col("word") != _END).join(states.select(F.col("context").alias("word")), "word", "left_semi")
+    return out
 
-    pairs = train.mapInArrow(count, "code bigint, times bigint").groupBy("code").agg(F.sum("times").alias("times"))
-    return _collected(pairs.filter(F.col("times") >= float(least)))
+
+def grow(train: DataFrame, counts: DataFrame, **options) -> Tree:
+    """The whole tree of ``tables`` on the driver, to look into that of a small corpus; scoring never does this."""
+    found = tables(train, counts, **options)
+    column = lambda df, *names: [x.to_numpy(zero_copy_only=False) for x in (df.select(*names).toArrow().combine_chunks().column(n) for n in names)]
+    code, times = column(found.counts, "code", "times")
+    order = np.argsort(code.view(np.uint64))
+    tree = Tree(code.view(np.uint64)[order], times[order], found.total, found.distinct)
+    for states, edges in found.levels:
+        context, log_rest, suffix = column(states.withColumn("suffix", F.coalesce("suffix", F.lit(0))), "context", "log_rest", "suffix")
+        order = np.argsort(context.view(np.uint64))
+        context, log_rest, suffix = context.view(np.uint64)[order], log_rest[order], suffix.view(np.uint64)[order]
+        below = _find(tree.levels[-1]["contexts"], suffix) if tree.levels else np.full(len(suffix), -1)
+        at, word, log_p = column(edges, "context", "word", "log_p")
+        code = _find(context, at.view(np.uint64)) * len(tree.words) + _find(tree.words, word.view(np.uint64))
+        order = np.argsort(code)
+        tree.levels.append({"contexts": context, "suffix": below, "log_rest": log_rest, "edges": code[order], "log_p": log_p[order]})
+    return tree
 
 
 def _log_p(tree: Tree, level: int, state: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -151,111 +245,91 @@ def _log_p(tree: Tree, level: int, state: np.ndarray, word: np.ndarray) -> np.nd
     return out
 
 
-def _grown(tree: Tree, level: int, contexts: np.ndarray, suffix: np.ndarray, seen: np.ndarray, code: np.ndarray, times: np.ndarray, divergence: float, pull: float) -> dict[str, np.ndarray]:
-    """The level from its candidates: which diverge from their suffix, and the probabilities of those."""
-    place, word = code // len(tree.words), code % len(tree.words)
-    parent = 10.0 ** _log_p(tree, level - 1, suffix[place], word)
-    p = (times + pull * parent) / (seen[place] + pull)
-    n = len(contexts)
-    own, theirs = np.bincount(place, p, n), np.bincount(place, parent, n)
-    rest, rest_theirs = np.maximum(1 - own, 1e-12), np.maximum(1 - theirs, 1e-12)
-    gain = np.bincount(place, p * np.log(p / parent), n) + rest * np.log(rest / rest_theirs)
-    keep = gain >= divergence
-    new = np.cumsum(keep) - 1
-    stay = keep[place]
-    return {"contexts": contexts[keep], "suffix": suffix[keep], "log_rest": np.log10(rest / rest_theirs)[keep], "edges": new[place[stay]] * len(tree.words) + word[stay], "log_p": np.log10(p[stay]), "times": times[stay]}
+def _weights(tree: Tables) -> DataFrame:
+    """(code, times, root, weight, known) of all runs that change a score: words, and pairs and triples of edges or states.
 
-
-def grow(train: DataFrame, counts: DataFrame, depth: int = 2, most_words: int = 1 << 20, context_share: float = 2e-5, edge_share: float = 1e-6, support: int = 5, divergence: float = 0.01, pull: float = 50.0) -> Tree:
-    """The tree of the ``text`` column of train; counts: (code, times) of all its words.
-
-    depth is 0, 1 or 2. Only tables with size bounds come to the driver: at most ``most_words`` words,
-    and 1 / edge_share pairs a level. ``support``: times a pair is seen at least.
+    root and weight are against the one unseen word for words, and 0 and against the shorter runs for others.
+    A word's weight has its rest as a context, and so has a pair's: a word always follows, unless it is END.
     """
-    if depth not in (0, 1, 2):
-        raise ValueError("contexts have at most two words")
-    total, distinct = counts.agg(F.sum("times"), F.count(F.lit(1))).first()
-    by_size = counts.groupBy(F.floor(F.log2("times") * 8).alias("size")).count().orderBy(F.desc("size")).collect()
+    unseen = F.log10(F.lit(0.5))
+    parts = [tree.counts.select("code", "times", (F.log10(F.col("times") + 0.5) - unseen).alias("root"), (F.log10(F.col("times") + 0.5) - unseen).alias("weight"), F.lit(1).alias("known"))]
+    zero, none = F.lit(0.0), F.lit(0)
+    for states, edges in tree.levels:
+        # log_parent holds the shorter runs' whole score
+        parts.append(edges.select("code", "times", zero.alias("root"), (F.col("log_p") - F.col("log_rest") - F.col("log_parent")).alias("weight"), none.alias("known")))
+        parts.append(states.select(F.col("context").alias("code"), "times", zero.alias("root"), F.col("log_rest").alias("weight"), none.alias("known")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("code").agg(F.max("times").alias("times"), F.sum("root").alias("root"), F.sum("weight").alias("weight"), F.max("known").alias("known"))
+
+
+def _head(weights: DataFrame, most: int) -> DataFrame:
+    """The most frequent rows, at most ``most``: whole classes of eighths of a power of two of their times."""
+    size = F.floor(F.log2(F.col("times") + F.lit(1)) * 8)
     fit, least = 0, None
-    for size, n in by_size:
-        if fit + n > most_words:
+    for at, n in weights.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+        if fit + n > most:
             break
-        fit, least = fit + n, size
-    head = counts.filter(F.floor(F.log2("times") * 8) >= least) if least is not None else counts.limit(0)
-    code, times = _collected(head)
-    order = np.argsort(code.view(np.uint64))
-    tree = Tree(code.view(np.uint64)[order], times[order], total or 0, distinct)
-    end = _find(tree.words, np.array([END]))[0]
-    for level in range(1, depth + 1):
-        if level == 1:
-            contexts = np.flatnonzero(tree.counts >= max(1.0, context_share * tree.total))
-            contexts = contexts[contexts != end]
-            suffix, seen = np.zeros(len(contexts), np.int64), tree.counts[contexts]
-            suffix -= 1
-        else:
-            last = tree.levels[-1]
-            # a pair (context, next word) is a candidate: the context's word before the one-word state
-            before, word = last["edges"] // len(tree.words), last["edges"] % len(tree.words)
-            seen = last["times"]
-            first, suffix = last["contexts"][before], _find(last["contexts"], word)
-            use = (seen >= context_share * tree.total) & (word != end) & (suffix >= 0)
-            contexts = first * max(1, len(last["contexts"])) + suffix
-            order = np.argsort(contexts[use])
-            contexts, suffix, seen = contexts[use][order], suffix[use][order], seen[use][order]
-        none = np.zeros(0, np.int64)
-        if not len(contexts) or not tree.total:
-            tree.levels.append({"contexts": none, "suffix": none, "log_rest": none.astype(float), "edges": none, "log_p": none.astype(float), "times": none})
-            continue
-        tree.levels.append({"contexts": contexts})
-        code, times = _level(train, tree, level, max(support, edge_share * tree.total))
-        tree.levels[-1] = _grown(tree, level, contexts, suffix, seen, code, times, divergence, pull)
-    return tree
+        fit, least = fit + n, at
+    return weights.withColumn("head", size >= least if least is not None else F.lit(False))
 
 
-def score(docs: DataFrame, folds: int = 5, held: int = 1, **options) -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, held: int = 1, most_words: int = 1 << 20, most_runs: int = 1 << 20, **options) -> DataFrame:
     """Per row doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32 of the id's text, modulo ``folds``, is not ``held``. A null id counts
     as an empty one, a null text as empty (its end alone); repeated rows count each; without training
-    rows every word has the one unseen word's probability, 1; an empty table gives no rows.
+    rows every word has the one unseen word's probability, 1; an empty table gives no rows. At most
+    ``most_words`` words and ``most_runs`` pairs and triples are scored from a list, the others by a
+    join: this changes the cost, not the scores.
     """
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     base = docs.select("doc_id", (fold == held).alias("held_out"), "text")
     train = base.filter(~F.col("held_out")).select("text")
     counts = written(spark, _word_counts(train), "pst-counts")
-    tree = grow(train, counts, **options)
-    shared = spark.sparkContext.broadcast(tree)
+    tree = tables(train, counts, **options)
+    weights = written(spark, _weights(tree), "pst-weights")
+    parts = [_head(weights.filter(F.col("known") == k), most) for k, most in ((1, most_words), (0, most_runs))]
+    weights = written(spark, parts[0].unionByName(parts[1]), "pst-parted")
+    listed = weights.filter("head").select("code", "root", "weight", "known").toArrow().combine_chunks()
+    code, root, weight, known = (listed.column(c).to_numpy() for c in ("code", "root", "weight", "known"))
+    order = np.argsort(code.view(np.uint64))
+    tail = weights.filter("not head").select("code", "root", "weight", "known")
+    seen = filter_of(tail, "code", size_for(tail.count()))
+    shared = spark.sparkContext.broadcast((code.view(np.uint64)[order], root[order], weight[order], known[order].astype(bool), seen))
+    unseen = float(np.log10(0.5)) - _log_z(tree.total, tree.distinct)
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, made = shared.value, TaskContext.get().partitionId() << 40
+        code, root, weight, known, seen = shared.value
+        made = TaskContext.get().partitionId() << 40
         for batch in batches:
             n_tokens, n_known, roots, scores, rare, ends = [], [], [], [], [], []
-            for _, _, tokens in _chunks(batch):
-                n = len(tokens.bounds) - 1
-                place = tree.places(tokens.hashes)
-                known = place >= 0
-                sums = lambda x, t=tokens, n=n: np.bincount(t.doc, x, n)
-                root = np.zeros(len(place))
-                root[known] = np.log10(tree.counts[place[known]] + 0.5) - tree.log_z
-                states = [np.full(len(place), -1), *(_contexts(tree, tokens, place, d + 1) for d in range(len(tree.levels)))]
-                log_p, done = np.zeros(len(place)), np.zeros(len(place), bool)
-                for d in range(len(tree.levels), 0, -1):
-                    at, level = states[d], tree.levels[d - 1]
-                    live = np.flatnonzero(~done & (at >= 0))
-                    edge = np.where(place[live] >= 0, _find(level["edges"], at[live] * len(tree.words) + place[live]), -1)
-                    hit = edge >= 0
-                    log_p[live[hit]] += level["log_p"][edge[hit]]
-                    done[live[hit]] = True
-                    log_p[live[~hit]] += level["log_rest"][at[live[~hit]]]
-                log_p[~done] += root[~done]
-                n_tokens.append(np.diff(tokens.bounds))
-                n_known.append(sums(known).astype(np.int64))
-                roots.append(sums(root))
-                scores.append(sums(log_p))
-                rare.append(tokens.hashes[~known].view(np.int64))
-                ends.append(np.bincount(tokens.doc[~known], minlength=n))
+            for _, _, t in _chunks(batch):
+                n = len(t.bounds) - 1
+                pairs = t.pairs()
+                sums = [np.zeros(n) for _ in range(3)]
+                rest, doc = [], []
+                for runs, level in ((t.hashes, 0), (pairs, 1), (t.triples(pairs), 2)):
+                    on = np.flatnonzero(t.before >= level)
+                    at = _find(code, runs[on])
+                    hit = at >= 0
+                    for total, values in zip(sums, (known, root, weight), strict=True):
+                        if len(values):
+                            total += np.bincount(t.doc[on[hit]], values[at[hit]], n)
+                    other = on[~hit]
+                    other = other[seen.test(runs[other])]
+                    rest.append(runs[other])
+                    doc.append(t.doc[other])
+                rest, doc = np.concatenate(rest), np.concatenate(doc)
+                rare.append(rest[np.argsort(doc, kind="stable")].view(np.int64))
+                ends.append(np.bincount(doc, minlength=n))
+                n_tokens.append(np.diff(t.bounds))
+                n_known.append(sums[0].astype(np.int64))
+                roots.append(sums[1] + unseen * np.diff(t.bounds))
+                scores.append(sums[2] + unseen * np.diff(t.bounds))
             size = batch.num_rows
             flat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
             offsets = np.append(0, np.cumsum(flat(ends, np.int64))).astype(np.int32)
@@ -266,9 +340,9 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, **options) -> DataFram
 
     rows = base.mapInArrow(walk, f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, known bigint, root double, log_p double, rare array<bigint>")
     rows = written(spark, rows, "pst-rows")
-    rare = rows.select("row", F.explode("rare").alias("code")).groupBy("row", "code").count()
-    rare = rare.join(counts, "code", "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    rare = rare.groupBy("row").agg(F.sum(F.col("count") * (F.log10(F.col("times") + 0.5) - F.lit(tree.log_z))).alias("more"), F.sum(F.when(F.col("times") > 0, F.col("count")).otherwise(0)).alias("seen"))
-    out = rows.drop("rare").join(rare, "row", "left")
-    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(tree.total).cast("bigint").alias("train_tokens"), (F.col("root") + more).alias("base_score"), (F.col("log_p") + more).alias("score"))
+    rare = rows.select("row", F.explode("rare").alias("code")).join(tail.withColumnRenamed("known", "is_word"), "code")
+    rare = rare.groupBy("row").agg(F.sum("root").alias("more_root"), F.sum("weight").alias("more"), F.sum("is_word").alias("seen"))
+    out = rows.drop("rare").withColumnRenamed("root", "base").join(rare, "row", "left")
+    more = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    n_known = (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known")
+    return out.select("doc_id", "held_out", "n_tokens", n_known, F.lit(tree.total).cast("bigint").alias("train_tokens"), (F.col("base") + more("more_root")).alias("base_score"), (F.col("log_p") + more("more")).alias("score"))

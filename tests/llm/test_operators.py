@@ -230,6 +230,60 @@ def test_suffix_tree_is_a_distribution_and_learns(spark):
     assert held[1] > 0.7 * held[0]
 
 
+def brute_tree_scores(train, texts, support=5, divergence=0.01, pull=50.0):
+    """Scores by dictionaries of all counts of words, pairs and triples."""
+    count = [Counter(), Counter(), Counter()]
+    for ws in train:
+        for k in range(3):
+            count[k].update(tuple(ws[i : i + k + 1]) for i in range(len(ws) - k))
+    z = sum(count[0].values()) + 0.5 * (len(count[0]) + 1)
+    edges, rests = {}, {}
+
+    def p(context, word):
+        if not context:
+            return (count[0][word,] + 0.5) / z
+        if context not in rests:
+            return p(context[1:], word) if len(context) == 1 else p((), word) if context[1:] not in rests else p(context[1:], word)
+        return edges[*context, word] if (*context, word) in edges else rests[context] * p(context[1:], word)
+
+    for k in (1, 2):
+        nexts = defaultdict(dict)
+        for run, n in count[k].items():
+            if n >= support and (k == 1 or run[1:2] in rests):
+                nexts[run[:-1]][run[-1]] = n
+        new = {}
+        for context, ns in nexts.items():
+            parent = {w: p(context[1:], w) for w in ns}
+            own = {w: (n + pull * parent[w]) / (count[k - 1][context] + pull) for w, n in ns.items()}
+            a, b = max(1 - sum(own.values()), 1e-12), max(1 - sum(parent.values()), 1e-12)
+            if sum(x * math.log(x / parent[w]) for w, x in own.items()) + a * math.log(a / b) >= divergence:
+                new[context] = a / b, own
+        for context, (rest, own) in new.items():
+            rests[context] = rest
+            edges |= {(*context, w): x for w, x in own.items()}
+    return [sum(math.log10(p(tuple(ws[max(0, i - 2) : i]), w)) for i, w in enumerate(ws)) for ws in texts]
+
+
+def test_suffix_tree_scores_whole_tree(spark, small):
+    df = spark.createDataFrame(small, "doc_id bigint, text string")
+    texts = [[*map(brute.lower_az, brute.words(t)), None] for _, t in small]
+    train = [ws for (d, _), ws in zip(small, texts, strict=True) if zlib.crc32(str(d).encode()) % 5 != 1]
+    want = {d: x for (d, _), x in zip(small, brute_tree_scores(train, texts), strict=True)}
+    for options in ({}, {"most_words": 100, "most_runs": 100}):
+        found = suffixtree.score(df, **options).collect()
+        assert all(r.score == pytest.approx(want[r.doc_id], abs=1e-4) for r in found) and len(found) == len(small)
+
+
+def test_suffix_tree_keeps_supported_runs_of_a_large_corpus(spark):
+    rng = np.random.default_rng(5)
+    filler = [(i, " ".join(f"f{w}" for w in rng.integers(0, 400, 6000))) for i in range(1000, 1100)]
+    rare = [(i, "alpha beta gamma delta") for i in range(6)]
+    train = spark.createDataFrame(filler + rare, "doc_id bigint, text string").select("text")
+    tree = suffixtree.grow(train, suffixtree._word_counts(train))
+    assert tree.total > 500_000  # a share of 2e-5 asked for over ten sightings of a context
+    assert 6 in tree.counts[suffixtree._find(tree.words, tree.levels[0]["contexts"])]
+
+
 def test_warc(spark, sf, tmp_path):
     pages = [(3, "http://a/\r\nx", "same"), (4, None, "same"), (9, "http://é/", "same"), (5, "u", ""), (6, "u", None), (7, "v", "ünï\r\n\r\nWARC/1.1\r\n"), (None, "w", "none"), (7, "v", "ünï\r\n\r\nWARC/1.1\r\n"), (8, "x", "long " * 50000)]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id bigint, url string, html string, record_type string")
