@@ -27,8 +27,11 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["f_words", "f_word_length", "f_symbols", "f_dup_lines", "f_repeats"]
-#: Least standard deviation of each feature: below it, differences are not held against a document.
-FLOORS = [0.5, 0.1, 0.05, 0.15, 0.15]
+#: Least standard deviation of each feature: a smaller one counts as this. In a group without any spread, the
+#: limit of ``judge`` is then about a quarter duplicate lines or repeated words, and 2.3 % symbols.
+FLOORS = [0.5, 0.1, 0.03, 0.1, 0.1]
+#: Least variance along any direction, in units of the floors, so that features which go together can be inverted.
+_LEAST_EIGEN = 0.05
 _N = len(FEATURES)
 
 
@@ -130,6 +133,14 @@ def _distance() -> Column:
     return out
 
 
+def _floored(cov: np.ndarray) -> np.ndarray:
+    """The covariance with the floors as least variances."""
+    unit = cov / np.outer(FLOORS, FLOORS)
+    unit = unit + np.diag(np.maximum(1 - np.diag(unit), 0))
+    values, vectors = np.linalg.eigh(unit)
+    return (vectors * np.maximum(values, _LEAST_EIGEN)) @ vectors.T * np.outer(FLOORS, FLOORS)
+
+
 def _estimates(moments: DataFrame, scale: float) -> DataFrame:
     """gid, mean, inverse covariance, from n, sums s_i and sums of products p_i_j."""
 
@@ -143,9 +154,8 @@ def _estimates(moments: DataFrame, scale: float) -> DataFrame:
                 for i in range(_N):
                     for j in range(i, _N):
                         cov[i, j] = cov[j, i] = row[f"p_{i}_{j}"] / n - mean[i] * mean[j]
-                cov = cov * scale + np.diag(np.square(FLOORS))
                 means.append(mean.tolist())
-                inverses.append(np.linalg.inv(cov).ravel().tolist())
+                inverses.append(np.linalg.inv(_floored(cov * scale)).ravel().tolist())
             yield pd.DataFrame({"gid": frame["gid"], "mean": means, "inverse": inverses})
 
     return moments.mapInPandas(solve, "gid string, mean array<double>, inverse array<double>")
@@ -172,7 +182,7 @@ def robust_distances(rows: DataFrame, least_rows: int = 200, share: float = 0.75
     centre = sized(written(spark, wide.groupBy("gid").agg(*[middle(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)]), "mcd-median"))
     spread = wide.join(centre, "gid").groupBy("gid").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(_N)], *[middle(F.abs(F.col(f) - F.col(f"m_{i}"))).alias(f"d_{i}") for i, f in enumerate(FEATURES)])
     zero = F.lit(0.0)
-    inverse = [1 / (F.pow(1.4826 * F.col(f"d_{i}"), 2) + FLOORS[i] ** 2) if i == j else zero for i in range(_N) for j in range(_N)]
+    inverse = [1 / F.pow(F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(FLOORS[i])), 2) if i == j else zero for i in range(_N) for j in range(_N)]
     found = written(spark, spread.select("gid", F.array(*[F.col(f"m_{i}") for i in range(_N)]).alias("mean"), F.array(*inverse).alias("inverse")), "mcd-start")
     scale = share / chi_square_below(chi_square_quantile(share, _N), _N + 2)
     for step in range(steps):
@@ -185,7 +195,7 @@ def robust_distances(rows: DataFrame, least_rows: int = 200, share: float = 0.75
     return named.join(sized(found), "gid").withColumn("distance", _distance()).drop("mean", "inverse", "gid")
 
 
-def judge(docs: DataFrame, least_words: int = 20, most_repeats: int = 30, tail: float = 1e-7, **options) -> DataFrame:
+def judge(docs: DataFrame, least_words: int = 20, most_repeats: int = 30, tail: float = 1e-4, **options) -> DataFrame:
     """The statistics of each document with base_failed, distance and kept.
 
     base_failed: under ``least_words`` words, or over ``most_repeats`` percent of words in repeated

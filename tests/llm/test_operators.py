@@ -397,6 +397,23 @@ def test_quality_finds_planted_outliers(spark):
     assert quality.chi_square_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
 
 
+def test_quality_rejects_planted_lines_and_symbols_of_clean_groups(spark):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9))))
+    rows = []
+    for i in range(600):
+        lines = [" ".join(word() for _ in range(5)) for _ in range(int(rng.integers(12, 30)))]
+        if i % 60 == 0:  # half of the lines are copies of other short lines
+            lines = [x for x in lines for _ in range(2)]
+        if i % 60 == 1:  # one symbol in twenty characters
+            lines = [x + " #" for x in lines]
+        rows.append((i, "\n".join(lines), "en", "s"))
+    found = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    planted = [r for r in found if r.doc_id % 60 < 2]
+    assert not any(r.base_failed for r in found) and not any(r.kept for r in planted)
+    assert sum(r.kept for r in found) >= 0.99 * (len(found) - len(planted))
+
+
 def test_fingerprints(small, spark, tricky, empty):
     rows = [(d, t or "") for d, t in small]
     df = spark.createDataFrame(small, "doc_id bigint, text string")
