@@ -35,9 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset, as in tests, a local folder of the driver is set for the session.
+    Only where it is unset and everything runs in one process, as in tests, a local folder is set for
+    the session; on a cluster it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = "file://" + os.path.join(tempfile.gettempdir(), f"quernworks-{uuid.uuid4().hex[:8]}")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -81,13 +84,20 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def freed(*tables: DataFrame) -> None:
+    """Removes the files of tables from ``written`` that nothing reads any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df._scratch)
+        _written[:] = [(spark, path) for spark, path in _written if path != df._scratch]
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
             drop_path(spark, path)
-        except Exception:  # the session may have ended before; the folder is scratch
-            return
+        except Exception:  # a session that has ended cannot remove its scratch; another one's may still go
+            continue
 
 
 def sized(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
