@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import freed, written
 
 
 def component_labels(links: DataFrame) -> DataFrame:
@@ -26,6 +26,9 @@ def component_labels(links: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("at"), F.col("low").alias("next"))
         jumped = step.join(jump, step.low == jump.at, "left").select("node", F.col("label").alias("old"), F.least("low", "next").alias("label"))
         jumped = written(spark, jumped, "cc-labels")
+        freed(labels, step)
         labels = jumped.select("node", "label")
+        labels._scratch = jumped._scratch
         if jumped.filter("label < old").isEmpty():
+            freed(both)
             return labels

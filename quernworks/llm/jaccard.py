@@ -1,22 +1,25 @@
-"""N-gram Jaccard join and its components, exact, by prefixes of tokens and of token pairs.
-
-A document's set is its distinct shingles. Sets are ordered by one order for all: rare tokens before
-frequent ones, then by hash. Two sets with a Jaccard similarity of t or more share a token among the
-first n - ceil(t n) + 1 of each, and k tokens among the first n - ceil(t n) + k (extended prefixes).
-
-- Rare tokens are indexed singly.
-- Small sets (up to SMALL tokens) index their frequent tokens of the extended prefix in pairs: of two
-  shared tokens either one is rare, or both are frequent and make a pair that both sets have.
-- Large sets index the frequent tokens of the plain prefix singly, where pairs would be too many. Sets
-  of SMALL to three quarters of it do both, so sets of different kinds meet.
-
-Which tokens are frequent only decides the order, so a Bloom filter of them may err without harm.
-
-Equal sets are one class. The classes that share a key are not all compared with each other: all are
-verified against the least of them, the hub, and in a few more rounds against one of another
-component; classes that end up in the hub's component need no more,
-and the others are compared with all of other components that the distances from the hub, a metric,
-leave possible.
+"""N-gram Jaccard join and its components, exact, by prefixes of tokens and of token combinations.
+
+A document's set is its distinct shingles. All sets are ordered by one order: tokens that no other set
+holds, rare ones, then frequent ones by classes of their frequency, within each by hash. Two linked
+sets of x and y tokens differ in few, so what they share must begin early in that order:
+
+- Rare tokens are indexed singly, in the prefix of n - ceil(t n) + 1 tokens: the first shared token of a
+  pair stands there in both sets.
+- Frequent tokens are indexed in combinations of two neighbours, in an extended prefix. If a pair shares
+  no rare token, all its rare tokens are errors; r of x's own and at most E = n (1 - t) / t in all. The
+  frequent tokens of both, merged, have at most E - r errors, and as t is at least 0.75 at least so many
+  shared tokens and two more; so two shared tokens are neighbours among the first 2 (E - r) + 2, with
+  nothing between them in either set. That makes a number of keys linear in the set, for every set.
+
+Which tokens are rare only decides the order: the counts are exact but for hash collisions, and what
+goes to the executors of them, a Bloom filter of stated size and a list of at most MOST_FREQUENT tokens,
+may be coarse without harm to the result.
+
+Equal sets are one class. A place in the order bounds what a pair can share, and pairs that could not
+link by it are never made. The classes that share a key are not all compared with each other: all are
+verified against one, the hub, which has the fewest tokens of its own; classes that end up in the hub's
+component need no more, and the others are compared with those of other components.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import sized, written
@@ -35,11 +40,11 @@ from .textops import Words, chunks, join2, mix, text_buffer, windows
 
 LAST = (1 << 63) - 1
 SHINGLE = 5
-SMALL = 64
-#: Tokens are frequent that a task saw so often among so many, and all tasks so often in sum.
-_OFTEN_HERE, _TALLY, _OFTEN = 2, 8 << 20, 8
-#: Rounds in which one more class of each key is compared with the classes of other components.
-_ROUNDS = 4
+#: Tokens of at least so many sets are frequent, or of more, where there are more than MOST_FREQUENT of them.
+FREQUENT = 16
+MOST_FREQUENT = 1 << 20
+#: Tokens that a task counts before it hands counts on; tokens a bucket of the exact counts has on average.
+_TALLY, _BUCKET = 4 << 20, 1 << 21
 
 
 class ShingleSets:
@@ -79,37 +84,56 @@ class ShingleSets:
         at.sort()
         return at[self.size[at] > 0]
 
+    def of(self, texts: np.ndarray) -> np.ndarray:
+        """Which tokens are of the given texts."""
+        pick = np.zeros(len(self.size), bool)
+        pick[texts] = True
+        return pick[self.doc]
+
+
+class Order:
+    """Classes of tokens: 0 for those no other set holds, 1 for rare ones, more for frequent ones."""
+
+    def __init__(self, log_buckets: int, shared: Filter, codes: np.ndarray, levels: np.ndarray) -> None:
+        self.log_buckets, self.shared, self.codes, self.levels = log_buckets, shared, codes, levels
+
+    def classes(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(tokens), np.int64)
+        code = mix(tokens >> np.uint64(32 - self.log_buckets))
+        some = np.flatnonzero(self.shared.test(code))
+        out[some] = 1
+        if len(self.codes):
+            code = code[some]
+            at = np.searchsorted(self.codes, code)
+            at[at == len(self.codes)] = 0
+            hit = self.codes[at] == code
+            out[some[hit]] = 1 + self.levels[at[hit]]
+        return out
 
-def _needed(n: np.ndarray, percent: int) -> np.ndarray:
-    return -(-n * percent // 100)
 
+def index_keys(sets: ShingleSets, texts: np.ndarray, order: Order, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, rare, place): keys of the given texts' sets, each text's tokens before its frequent ones, and the key's place.
 
-def index_keys(sets: ShingleSets, texts: np.ndarray, frequent: Filter, percent: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the given texts' sets, and the text of each key."""
-    pick = np.zeros(len(sets.size), bool)
-    pick[texts] = True
-    keep = pick[sets.doc]
+    A key of one token has a place before ``rare``, one of two tokens has a place from it on.
+    """
+    keep = sets.of(texts)
     doc, token = sets.doc[keep], sets.tokens[keep]
-    often = frequent.test(token)
-    order = np.argsort(doc * 2 + often, kind="stable")
-    doc, token, often = doc[order], token[order], often[order]
-    size = sets.size[doc]
-    first = np.searchsorted(doc, doc)
-    place = np.arange(len(doc)) - first
-    plain = place < size - _needed(size, percent) + 1
-    longer = place < size - _needed(size, percent) + 2
-    pairs_too, single_too = size <= small, size >= small * percent // 100
-    alone = np.where(often, plain & single_too, np.where(pairs_too, longer, plain))
-    docs, keys = [doc[alone]], [token[alone]]
-    paired = np.flatnonzero(often & longer & pairs_too)
-    for gap in range(1, small):  # the frequent tokens of a prefix stand together, in the common order
-        a, b = paired[:-gap], paired[gap:]
-        same = doc[a] == doc[b]
-        if not same.any():
-            break
-        docs.append(doc[a[same]])
-        keys.append(join2(token[a[same]], token[b[same]]))
-    return np.concatenate(docs), np.concatenate(keys)
+    kind = order.classes(token)
+    size = sets.size
+    fresh = np.bincount(doc[kind == 0], minlength=len(size))
+    rare = fresh + np.bincount(doc[kind == 1], minlength=len(size))
+    single = size - -(-size * percent // 100) + 1
+    errors = size * (100 - percent) // percent
+    keep = (kind > 0) & (fresh <= np.maximum(single, errors))[doc]
+    doc, token, kind = doc[keep], token[keep], kind[keep]
+    at = np.lexsort((token, kind, doc))
+    doc, token, kind = doc[at], token[at], kind[at]
+    place = np.arange(len(doc)) - np.searchsorted(doc, doc) + fresh[doc]
+    alone = np.flatnonzero((kind == 1) & (place < single[doc]))
+    paired = np.flatnonzero((kind[:-1] > 1) & (doc[:-1] == doc[1:]) & ((place - rare[doc])[:-1] <= 2 * (errors - rare)[doc][:-1]))
+    at = np.concatenate([alone, paired])
+    keys = np.concatenate([token[alone], join2(token[paired], token[paired + 1])])
+    return doc[at], keys, rare[doc[at]], place[at]
 
 
 def _each_chunk(base: DataFrame, schema: str, make: Callable[[ShingleSets, dict], pa.RecordBatch | None]) -> DataFrame:
@@ -130,15 +154,27 @@ def _batch(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
-def _frequent(base: DataFrame, log_bits: int) -> Filter:
-    """Tokens that many documents hold, by lossy counting: a task hands on, every few million tokens, those it saw twice."""
+def shared_tokens(texts: DataFrame, log_buckets: int) -> DataFrame:
+    """(code, times) of tokens that were counted more than once; a copy of a text in another task counts again.
+
+    Tokens are cut to 32 + log_buckets bits. Tasks add up what they see and hand on, for each bucket of
+    the first bits, the distinct last 32 bits, and apart from them how often those seen again were.
+    """
 
     def tally(parts: list[np.ndarray]) -> pa.RecordBatch:
-        tokens = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(tokens)))
-        some = times >= _OFTEN_HERE
-        return _batch(token=tokens[first[some]].view(np.int64), times=times[some].astype(np.int64))
+        top = np.sort(np.concatenate(parts) >> np.uint64(32 - log_buckets)) if parts else np.zeros(0, np.uint64)
+        first = np.flatnonzero(np.append(True, top[1:] != top[:-1])) if len(top) else np.zeros(0, np.int64)
+        more = np.diff(np.append(first, len(top))) - 1
+        value = top[first]
+        edges = np.searchsorted(value, np.arange((1 << log_buckets) + 1, dtype=np.uint64) << np.uint64(32))
+        full = np.flatnonzero(np.diff(edges))
+        low = value.astype(np.uint32)
+        again = np.flatnonzero(more)
+        parts_ = [(low[edges[i] : edges[i + 1]].tobytes(), again[np.searchsorted(again, edges[i]) : np.searchsorted(again, edges[i + 1])]) for i in full]
+        return _batch(
+            bucket=full.astype(np.int32), low=pa.array([x for x, _ in parts_], pa.binary()),
+            again=pa.array([low[x].tobytes() for _, x in parts_], pa.binary()), more=pa.array([more[x].astype(np.uint32).tobytes() for _, x in parts_], pa.binary()),
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -146,180 +182,185 @@ def _frequent(base: DataFrame, log_bits: int) -> Filter:
             buf, offs = text_buffer(batch.column("text"))
             for lo, hi in chunks(offs):
                 sets = ShingleSets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                pick = np.zeros(len(sets.size), bool)
-                pick[sets.first_of_class()] = True
-                parts.append(sets.tokens[pick[sets.doc]])
+                parts.append(sets.tokens[sets.of(sets.first_of_class())])
                 size += len(parts[-1])
                 if size >= _TALLY:
                     yield tally(parts)
                     parts, size = [], 0
         yield tally(parts)
 
-    seen = base.select("text").mapInArrow(count, "token bigint, times bigint").groupBy("token").agg(F.sum("times").alias("times"))
-    return filter_of(seen.filter(F.col("times") >= _OFTEN), "token", log_bits)
-
-
-def _bitmap(tokens: np.ndarray) -> bytes:
-    """One bit a token by its hash, in four to eight times as many bits as tokens, from 256 to 8192."""
-    bits = np.zeros(min(8192, max(256, 1 << (4 * len(tokens) - 1).bit_length())), bool)
-    bits[(tokens >> np.uint64(20)) % np.uint64(len(bits))] = True
-    return np.packbits(bits).tobytes()
-
-
-def _missing(x: np.ndarray, y: np.ndarray) -> int:
-    """Tokens of x's set that y's lacks, at least: bits of x that y has not, the larger one folded to y's size."""
-    while len(x) > len(y):
-        x = x.reshape(2, -1)[0] | x.reshape(2, -1)[1]
-    while len(y) > len(x):
-        y = y.reshape(2, -1)[0] | y.reshape(2, -1)[1]
-    return int(np.bitwise_count(x & ~y).sum())
-
-
-def _fetched(texts: DataFrame, pairs: DataFrame, name: str, make: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """pairs with (n, data) of both sides' sets as na, da, nb, db; data is made from a set's ascending tokens."""
-    spark = texts.sparkSession
-    wanted = written(spark, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), f"{name}-wanted")
-    mark = spark.sparkContext.broadcast(filter_of(wanted, "sig", size_for(wanted.count())))
-
-    def fetch(sets: ShingleSets, _: dict) -> pa.RecordBatch:
-        at = sets.first_of_class()
-        at = at[mark.value.test(sets.sig[at].view(np.uint64))]
-        data = [make(sets.tokens[sets.bounds[i] : sets.bounds[i + 1]]) for i in at]
-        return _batch(sig=sets.sig[at], n=sets.size[at].astype(np.int64), data=pa.array(data, pa.binary()))
-
-    found = _each_chunk(texts, "sig bigint, n bigint, data binary", fetch).join(wanted, "sig", "left_semi")
-    found = written(spark, found.groupBy("sig", "n").agg(F.first("data").alias("data")), f"{name}-data")
-    side = lambda k: found.withColumnsRenamed({"sig": k, "n": f"n{k}", "data": f"d{k}"})
-    return pairs.join(side("a"), "a").select("a", "b", "na", "da").join(side("b"), "b").select("a", "b", "na", "da", "nb", "db")
+    def total(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        ints = lambda c: np.frombuffer(b"".join(frame[c]), np.uint32)
+        low, times = np.unique(ints("low"), return_counts=True)
+        np.add.at(times, np.searchsorted(low, ints("again")), ints("more").astype(np.int64))
+        some = times > 1
+        code = mix(low[some].astype(np.uint64) | np.uint64(int(key[0]) << 32))
+        return pd.DataFrame({"code": code.view(np.int64), "times": times[some]})
+
+    return texts.mapInArrow(count, "bucket int, low binary, again binary, more binary").groupBy("bucket").applyInPandas(total, "code bigint, times bigint")
+
+
+def token_order(texts: DataFrame, n_tokens: int, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> Order:
+    """The order of tokens, from exact counts: a Bloom filter of those shared, and a list of at most ``most`` frequent ones."""
+    log_buckets = min(16, max(10, (n_tokens // _BUCKET).bit_length()))
+    counts = written(texts.sparkSession, shared_tokens(texts, log_buckets), "jaccard-tokens")
+    level = F.floor(F.log2("times")).cast("int")
+    steps = counts.filter(F.col("times") >= frequent).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    fit, least = 0, None
+    for at, n in steps:
+        fit += n
+        if fit > most:
+            break
+        least = at
+    head = counts.filter((F.col("times") >= frequent) & (level >= least)) if least is not None else counts.limit(0)
+    head = head.select("code", level.alias("level")).toArrow().combine_chunks()
+    codes, levels = head.column("code").to_numpy().view(np.uint64), head.column("level").to_numpy().astype(np.int64)
+    at = np.argsort(codes)
+    return Order(log_buckets, filter_of(counts, "code", size_for(counts.count(), 8)), codes[at], levels[at])
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, near, far, linked) of pairs of classes: bounds of their distance 1 - similarity, and whether they link.
+def _possible(percent: int, x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Whether two sets of (n, rare, place) that meet at a key could link, if it is the first key they share.
 
-    First by bitmaps of the sets: bits that only one has bound the tokens that both can share. Pairs
-    that could link by that bound are compared by their whole sets, and have near = far.
+    Before a single token nothing is shared. Before a pair, no rare token is, and shared tokens stand
+    apart: each is followed by an error, so there are at most a third of the frequent tokens of both.
     """
-    spark = texts.sparkSession
+    before = lambda s: F.greatest(s("place") - s("rare"), F.lit(0))
+    apart = F.least(F.floor((before(x) + before(y)) / 3), before(x), before(y))
+    most = apart + F.least(x("n") - x("place"), y("n") - y("place"))
+    return most * (100 + percent) >= percent * (x("n") + y("n"))
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            most = np.empty(batch.num_rows, np.int64)
-            for i, (x, y) in enumerate(zip(batch.column("da"), batch.column("db"), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
-                most[i] = min(na[i] - _missing(x, y), nb[i] - _missing(y, x))
-            union = na + nb - most
-            yield _batch(a=batch.column("a"), b=batch.column("b"), near=1 - most / union, maybe=100 * most >= percent * union)
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, by their whole sets of shared tokens."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             shared = np.empty(batch.num_rows, np.int64)
             for i, (x, y) in enumerate(zip(batch.column("da"), batch.column("db"), strict=True)):
-                x, y = sorted((np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)), key=len)
+                x, y = sorted((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)), key=len)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                shared[i] = (y[at] == x).sum()
-            union = na + nb - shared
-            away = 1 - shared / union
-            yield _batch(a=batch.column("a"), b=batch.column("b"), near=away, far=away, linked=100 * shared >= percent * union)
-
-    first = _fetched(texts, pairs, "jaccard-bits", _bitmap).mapInArrow(bound, "a bigint, b bigint, near double, maybe boolean")
-    first = written(spark, first, "jaccard-bound")
-    exact = _fetched(texts, first.filter("maybe").select("a", "b"), "jaccard-sets", lambda t: t.tobytes()).mapInArrow(compare, "a bigint, b bigint, near double, far double, linked boolean")
-    return exact.unionByName(first.filter("not maybe").select("a", "b", "near", F.lit(1.0).alias("far"), F.lit(False).alias("linked")))
+                shared[i] = (y[at] == x).sum() if len(x) else 0
+            linked = pa.array(100 * shared >= percent * (total - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(linked), batch.column("b").filter(linked)], names=["a", "b"])
+
+    side = lambda k: sets.withColumnsRenamed({"sig": k, "n": f"n{k}", "data": f"d{k}"})
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "da", "nb", "db")
+    return both.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _pairs(percent: int, rows: DataFrame, others: DataFrame, differ: Column | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ``rows`` (as x) and ``others`` (as y) that meet at a key and could link."""
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    meet = (x("key") == y("key")) & (x("sig") != y("sig")) & _possible(percent, x, y)
+    met = rows.alias("x").join(others.alias("y"), meet if differ is None else meet & differ)
+    return met.select(F.least(x("sig"), y("sig")).alias("a"), F.greatest(x("sig"), y("sig")).alias("b")).distinct()
+
+
+class Index:
+    """What a join needs: rows (key, tie, n_shingles, sig) of all documents, posts (key, sig, n, rare, place)
+    of the classes that can link, and sets (sig, n, data) of their tokens that several sets hold."""
+
+    def __init__(self, docs: DataFrame, percent: int, **options) -> None:
+        if not 75 <= percent <= 100:
+            raise ValueError("combinations of two neighbours meet from 75 percent on")
+        spark = docs.sparkSession
+        base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"), F.xxhash64("text").alias("tie"), "text")
+        texts = base.select("text")
+        self.percent = percent
+        rows = _each_chunk(base, "key bigint, tie bigint, n_shingles bigint, sig bigint", lambda s, c: _batch(key=c["key"], tie=c["tie"], n_shingles=s.size.astype(np.int64), sig=s.sig))
+        self.rows = written(spark, rows, "jaccard-rows")
+        n_tokens = self.rows.agg(F.sum("n_shingles")).first()[0] or 0
+        order: Broadcast = spark.sparkContext.broadcast(token_order(texts, n_tokens, **options))
+
+        def entries(sets: ShingleSets, _: dict) -> pa.RecordBatch:
+            doc, key, rare, place = index_keys(sets, sets.first_of_class(), order.value, percent)
+            return _batch(key=key.view(np.int64), sig=sets.sig[doc], n=sets.size[doc].astype(np.int32), rare=rare.astype(np.int32), place=place.astype(np.int32))
+
+        posts = written(spark, _each_chunk(texts, "key bigint, sig bigint, n int, rare int, place int", entries).distinct(), "jaccard-posts")
+        # without keys of one class alone, and classes that could not link with the least set of the key
+        keys = posts.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("low")).filter("many > 1")
+        able = F.col("n") - F.least("place", "rare")
+        posts = posts.join(keys, "key").filter(able * (100 + percent) >= percent * (F.col("n") + F.col("low")))
+        self.posts = written(spark, posts.drop("many", "low"), "jaccard-able")
+        wanted = written(spark, self.posts.select("sig").distinct(), "jaccard-wanted")
+        mark = spark.sparkContext.broadcast(filter_of(wanted, "sig", size_for(wanted.count())))
+
+        def fetch(sets: ShingleSets, _: dict) -> pa.RecordBatch:
+            at = sets.first_of_class()
+            at = at[mark.value.test(sets.sig[at].view(np.uint64))]
+            keep = sets.of(at)
+            doc, token = sets.doc[keep], sets.tokens[keep]
+            some = order.value.classes(token) > 0
+            doc, token = doc[some], token[some]
+            edges = np.searchsorted(doc, np.arange(len(sets.size) + 1))
+            data = pa.array([token[edges[i] : edges[i + 1]].tobytes() for i in at], pa.binary())
+            return _batch(sig=sets.sig[at], n=sets.size[at].astype(np.int64), data=data)
+
+        found = _each_chunk(texts, "sig bigint, n bigint, data binary", fetch).join(wanted, "sig", "left_semi")
+        self.sets = written(spark, found.groupBy("sig", "n").agg(F.first("data").alias("data")), "jaccard-sets")
+
+
+def jaccard_links(docs: DataFrame, percent: int = 75, **options) -> tuple[DataFrame, DataFrame]:
+    """The whole join: rows (key, tie, n_shingles, sig) of all documents, sig being the class of equal
+    sets, and every link (a, b), a < b, between classes.
+
+    The output can have as many links as a family of near copies has pairs; use jaccard_components where
+    only the groups are wanted.
+    """
+    index = Index(docs, percent, **options)
+    tried = written(docs.sparkSession, _pairs(percent, index.posts, index.posts, F.col("x.sig") < F.col("y.sig")), "jaccard-tried")
+    return index.rows, _verified(index.sets, tried, percent)
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, tie, n_shingles, sig, label, component) of all documents, and links (a, b) between classes.
+def jaccard_components(docs: DataFrame, percent: int = 75, **options) -> DataFrame:
+    """Rows (key, tie, n_shingles, sig, label, least, component) of all documents.
 
     key is the id (LAST for null) and tie the hash of the text; label is the least class reachable, null
-    for the empty set, and component the least key reachable: ids may be null or equal, so only the
-    label tells components apart.
+    for the empty set, least the least key of an equal set and component the least key reachable: ids
+    may be null or equal, so only the label tells components apart.
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"), F.xxhash64("text").alias("tie"), "text")
-    rows = written(spark, _each_chunk(base, "key bigint, tie bigint, n_shingles bigint, sig bigint", lambda s, c: _batch(key=c["key"], tie=c["tie"], n_shingles=s.size.astype(np.int64), sig=s.sig)), "jaccard-rows")
-    log_bits = size_for(rows.count() * 64)
-    often = spark.sparkContext.broadcast(_frequent(base, log_bits))
-
-    def keys(sets: ShingleSets, _: dict) -> pa.RecordBatch:
-        doc, key = index_keys(sets, sets.first_of_class(), often.value, percent)
-        return _batch(key=key.view(np.int64), sig=sets.sig[doc])
-
-    index = _each_chunk(base.select("text"), "key bigint, sig bigint", keys)
-    shared = index.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low < high").select("key")
-    seen = spark.sparkContext.broadcast(filter_of(shared, "key", log_bits))
-
-    def entries(sets: ShingleSets, _: dict) -> pa.RecordBatch:
-        doc, key = index_keys(sets, sets.first_of_class(), often.value, percent)
-        hit = seen.value.test(key)
-        return _batch(key=key[hit].view(np.int64), sig=sets.sig[doc[hit]], n=sets.size[doc[hit]].astype(np.int64))
-
-    posts = _each_chunk(base.select("text"), "key bigint, sig bigint, n bigint", entries).distinct()
-    posts = written(spark, posts, "jaccard-posts")
-    hubs = posts.groupBy("key").agg(F.min("sig").alias("hub"), F.min_by("n", "sig").alias("hub_n"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    hubs = written(spark, hubs, "jaccard-hubs")
-    alike = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    tried = posts.join(hubs, "key").filter("sig != hub").filter(alike(F.col("n"), F.col("hub_n")))
-    tried = written(spark, tried.select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct(), "jaccard-tried")
-    sets = base.select("text")
-    star = written(spark, _verified(sets, tried, percent), "jaccard-star")
-    labels = component_labels(star.filter("linked").select("a", "b"))
-
-    named = lambda df, col, out: df.join(labels.withColumnsRenamed({"node": col, "label": out}), col, "left").withColumn(out, F.coalesce(out, col))
-    links, shared_keys = star.filter("linked").select("a", "b"), posts.join(hubs.filter("many > 2").select("key"), "key", "left_semi")
-    for _ in range(_ROUNDS):
-        # a further hub for each key that still has several components: one of another than the least
-        rows_ = written(spark, named(shared_keys, "sig", "label"), "jaccard-labelled")
-        split = rows_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("sig", "label").alias("next"), F.max_by("n", "label").alias("next_n")).filter("low < high")
-        more = rows_.join(written(spark, split, "jaccard-next"), "key").filter((F.col("label") != F.col("high")) & alike(F.col("n"), F.col("next_n")))
-        more = more.select(F.least("sig", "next").alias("a"), F.greatest("sig", "next").alias("b")).distinct()
-        more = written(spark, more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
-        if more.isEmpty():
-            break
-        tried = written(spark, tried.union(more), "jaccard-tried")
-        found = written(spark, _verified(sets, more, percent).filter("linked").select("a", "b"), "jaccard-found")
-        if found.isEmpty():
-            break
-        links = written(spark, links.union(found), "jaccard-links")
-        labels = component_labels(links)
-
-    # what is not in its hub's component yet, against the rest of the key
-    wide = posts.join(named(hubs.filter("many > 2"), "hub", "hub_label").drop("hub_n", "many"), "key").filter("sig != hub")
-    wide = named(wide, "sig", "label")
-    known = star.select(F.col("a").alias("hub"), F.col("b").alias("sig"), "near", "far")
-    wide = written(spark, wide.join(known, ["hub", "sig"], "left").select("key", "sig", "n", "label", "near", "far", (F.col("label") != F.col("hub_label")).alias("out")), "jaccard-wide")
-    left = wide.filter("out").select("key", F.col("sig").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), F.col("near").alias("a_near"), F.col("far").alias("a_far"))
-    most = 1 - percent / 100 + 1e-9
-    rest = left.join(wide, "key").filter((F.col("label") != F.col("a_label")) & (~F.col("out") | (F.col("a") < F.col("sig"))) & alike(F.col("n"), F.col("a_n")))
-    apart = F.greatest(F.col("a_near") - F.col("far"), F.col("near") - F.col("a_far"))
-    rest = rest.filter(F.coalesce(apart <= most, F.lit(True)))
-    rest = rest.select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
-    rest = written(spark, rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    if not rest.isEmpty():
-        links = written(spark, links.union(_verified(sets, rest, percent).filter("linked").select("a", "b")), "jaccard-links")
-        labels = component_labels(links)
+    index = Index(docs, percent, **options)
+    posts, rows = index.posts, index.rows
+    hubs = posts.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("place", "sig", "n", "rare")).alias("hub")).filter("many > 1")
+    hubs = written(spark, hubs.select("key", "many", "hub.*"), "jaccard-hubs")
+    tried = written(spark, _pairs(percent, posts, hubs), "jaccard-tried")
+    links = written(spark, _verified(index.sets, tried, percent), "jaccard-star")
+    labels = component_labels(links)
+
+    # what is not in its hub's component, against what of the key is in another one
+    named = posts.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    named = written(spark, named.join(hubs.filter("many > 2").select("key", F.col("sig").alias("hub")), "key"), "jaccard-named")
+    of_hub = named.filter("sig = hub").select("key", F.col("label").alias("hub_label"))
+    named = written(spark, named.filter("sig != hub").join(of_hub, "key").withColumn("out", F.col("label") != F.col("hub_label")), "jaccard-out")
+    differ = (F.col("x.label") != F.col("y.label")) & (~F.col("y.out") | (F.col("x.sig") < F.col("y.sig")))
+    rest = written(spark, _pairs(percent, named.filter("out"), named, differ).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+    more = written(spark, _verified(index.sets, rest, percent), "jaccard-more")
+    if not more.isEmpty():
+        labels = component_labels(links.union(more))
 
     classes = rows.filter("n_shingles > 0").groupBy("sig").agg(F.min("key").alias("least"))
-    classes = classes.join(labels, classes.sig == labels.node, "left").select("sig", "least", F.coalesce("label", "sig").alias("label"))
+    classes = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("label", "sig").alias("label"))
     classes = written(spark, classes, "jaccard-classes")
     least = classes.groupBy("label").agg(F.min("least").alias("component"))
-    of = classes.select("sig", "label").join(least, "label").select("sig", "label", "component")
-    out = rows.join(written(spark, of, "jaccard-of"), "sig", "left").withColumn("component", F.coalesce("component", "key"))
-    return out, links
+    of = classes.join(least, "label").select("sig", "label", "least", "component")
+    return rows.join(written(spark, of, "jaccard-of"), "sig", "left").withColumns({c: F.coalesce(c, "key") for c in ("least", "component")})
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Per row doc_id, n_shingles, component_id, class_id (rows of equal sets share it).
+    """Per row doc_id, n_shingles, component_id, class_id: the least ids reachable and of an equal set.
 
-    Lower-cases A-Z. Rows link when 100 * intersection >= percent * union of their sets; component_id
-    is the least id reachable. Null, empty and wordless texts have an empty set and link with nothing;
-    texts under five words have their whole sequence as the one shingle; rows of equal id are rows of
-    their own; a null id stands after all others; an empty table gives no rows.
+    Lower-cases A-Z. Rows link when 100 * intersection >= percent * union of their sets. Null, empty and
+    wordless texts have an empty set and link with nothing, not with each other either; texts under five
+    words have their whole sequence as the one shingle; rows of equal id are rows of their own; a null
+    id stands after all others; other columns are not read; an empty table gives no rows.
     """
-    out, _ = jaccard_components(docs, percent)
-    return out.select(F.nullif("key", F.lit(LAST)).alias("doc_id"), "n_shingles", F.nullif("component", F.lit(LAST)).alias("component_id"), F.col("sig").alias("class_id"))
+    out = jaccard_components(docs, percent)
+    back = lambda c, name: F.nullif(c, F.lit(LAST)).alias(name)
+    return out.select(back("key", "doc_id"), "n_shingles", back("component", "component_id"), back("least", "class_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -328,7 +369,7 @@ def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     A null id stands after all others. Documents with an empty set all stay, repeated ones too.
     """
     spark = docs.sparkSession
-    out, _ = jaccard_components(docs, percent)
+    out = jaccard_components(docs, percent)
     full = out.filter("n_shingles > 0")
     stays = full.groupBy("label").agg(F.min(F.struct("key", "tie")).alias("stay"))
     marked = full.groupBy("label", "key", "tie").agg(F.count(F.lit(1)).alias("__q_many")).join(stays, "label")
@@ -341,3 +382,21 @@ def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
         return kept.drop("__q_id", "__q_at", "__q_many")
     once = kept.filter("__q_many is not null").dropDuplicates(["__q_id", "__q_at"])
     return kept.filter("__q_many is null").unionByName(once).drop("__q_id", "__q_at", "__q_many")
+
+
+SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+places as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0),
+sets as (select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as shingle from places),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+both_ as (select a.doc_id as a, b.doc_id as b, count(*) as shared from sets a join sets b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from both_ join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+edges as (select a, b from links union all select b, a from links),
+reach(doc_id, r) as (select doc_id, doc_id from documents union select reach.doc_id, edges.b from reach join edges on edges.a = reach.r),
+whole as (select doc_id, string_agg(shingle, chr(10) order by shingle) as s from sets group by doc_id),
+classes as (select doc_id, min(doc_id) over (partition by s) as class_id from whole)
+select reach.doc_id, coalesce(max(n), 0)::bigint as n_shingles, min(r) as component_id, coalesce(max(class_id), reach.doc_id) as class_id
+from reach left join sizes on sizes.doc_id = reach.doc_id left join classes on classes.doc_id = reach.doc_id group by reach.doc_id
+"""

@@ -65,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": urlfilter.SQL,
+    "op4_substring_dedup": substrings.SQL,
     "op6_warc_round_trip": warc.SQL,
+    "op7_ngram_jaccard_join": jaccard.SQL,
     "op8_line_dedup": linededup.SQL,
 }

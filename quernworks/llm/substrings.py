@@ -169,3 +169,17 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
     return rows.mapInArrow(cut, schema)
+
+
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+places as (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13),
+runs as (select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as run from places),
+least as (select run, min(doc_id) as first from runs group by run),
+gone as (select distinct doc_id, i + j as p from runs join least using (run), (select unnest(range(13)) as j) where first < doc_id),
+words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from d)
+select d.doc_id, count(x) as n_words, count(gone.p) as n_removed,
+       sha256(coalesce(string_agg(x, ' ' order by words.p) filter (where gone.p is null), '')) as kept_sha256
+from d left join words on d.doc_id = words.doc_id left join gone on gone.doc_id = words.doc_id and gone.p = words.p
+group by d.doc_id
+"""

@@ -337,18 +337,48 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("percent", [75])
-def test_jaccard(small, spark, tricky, empty, percent):
+@pytest.fixture(scope="module")
+def near():
+    return near_rows()
+
+
+def test_jaccard(small, spark, tricky, empty, near):
     columns = ("doc_id", "n_shingles", "component_id")
-    rows = near_rows()
-    for data in (small, rows):
+    for data in (small, near):
         df = spark.createDataFrame(data, "doc_id bigint, text string")
         want = sorted(brute.components(data), key=repr)
-        assert got(jaccard.near_duplicates(df), *columns) == want and len({r[2] for r in want}) < len(want)
+        found = jaccard.near_duplicates(df)
+        assert got(found, *columns) == want and len({r[2] for r in want}) < len(want)
+        first = {}
+        for d, t in sorted(data):
+            first.setdefault(brute.shingles(t) or d, d)
+        assert got(found, "doc_id", "class_id") == sorted(((d, first[brute.shingles(t) or d]) for d, t in data), key=repr)
     assert got(jaccard.near_duplicates(tricky), *columns) == back(brute.components(with_ids(TRICKY)))
     assert jaccard.near_duplicates(empty).count() == 0
-    left = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert sorted(r.doc_id for r in left.collect()) == sorted({r[2] for r in brute.components(rows)})
+    with pytest.raises(ValueError, match="75"):
+        jaccard.near_duplicates(tricky, 60)
+
+
+def test_jaccard_order_changes_no_link(spark, near):
+    """The same links and groups, whether every shared token is frequent, or none is."""
+    df = spark.createDataFrame(near, "doc_id bigint, text string")
+    sets = {d: brute.shingles(t) for d, t in near}
+    ids = sorted(sets)
+    want = {(a, b) for a in ids for b in ids if a < b and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    for options in ({"frequent": 2}, {"frequent": 2, "most": 40}, {"most": 0}):
+        rows, links = jaccard.jaccard_links(df, **options)
+        of = {}
+        for r in rows.collect():
+            of.setdefault(r.sig, []).append(r.key)
+        found = {(min(x, y), max(x, y)) for r in links.collect() for x in of[r.a] for y in of[r.b]}
+        assert found == want and len(want) > 20
+    rows = jaccard.jaccard_components(df, frequent=2)
+    assert got(rows, "key", "n_shingles", "component") == sorted(brute.components(near), key=repr)
+
+
+def test_one_document_of_each_group_stays(spark, tricky, near):
+    left = jaccard.one_of_each(spark.createDataFrame(near, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == sorted({r[2] for r in brute.components(near)})
     kept = jaccard.one_of_each(tricky)
     assert kept.columns == tricky.columns and sorted(r.doc_id for r in kept.filter("doc_id in (15, 16)").collect()) == [15]
 
