@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -36,6 +35,7 @@ from pyspark.sql import functions as F
 from ..session import sized, written
 from .bloom import Filter, filter_of, size_for
 from .components import component_labels
+from .tally import buckets_for, counted, cut
 from .textops import Words, chunks, join2, mix, text_buffer, windows
 
 LAST = (1 << 63) - 1
@@ -43,8 +43,6 @@ SHINGLE = 5
 #: Tokens of at least so many sets are frequent, or of more, where there are more than MOST_FREQUENT of them.
 FREQUENT = 16
 MOST_FREQUENT = 1 << 20
-#: Tokens that a task counts before it hands counts on; tokens a bucket of the exact counts has on average.
-_TALLY, _BUCKET = 4 << 20, 1 << 21
 
 
 class ShingleSets:
@@ -99,7 +97,7 @@ class Order:
 
     def classes(self, tokens: np.ndarray) -> np.ndarray:
         out = np.zeros(len(tokens), np.int64)
-        code = mix(tokens >> np.uint64(32 - self.log_buckets))
+        code = cut(tokens, self.log_buckets)
         some = np.flatnonzero(self.shared.test(code))
         out[some] = 1
         if len(self.codes):
@@ -154,56 +152,16 @@ def _batch(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
-def shared_tokens(texts: DataFrame, log_buckets: int) -> DataFrame:
-    """(code, times) of tokens that were counted more than once; a copy of a text in another task counts again.
-
-    Tokens are cut to 32 + log_buckets bits. Tasks add up what they see and hand on, for each bucket of
-    the first bits, the distinct last 32 bits, and apart from them how often those seen again were.
-    """
-
-    def tally(parts: list[np.ndarray]) -> pa.RecordBatch:
-        top = np.sort(np.concatenate(parts) >> np.uint64(32 - log_buckets)) if parts else np.zeros(0, np.uint64)
-        first = np.flatnonzero(np.append(True, top[1:] != top[:-1])) if len(top) else np.zeros(0, np.int64)
-        more = np.diff(np.append(first, len(top))) - 1
-        value = top[first]
-        edges = np.searchsorted(value, np.arange((1 << log_buckets) + 1, dtype=np.uint64) << np.uint64(32))
-        full = np.flatnonzero(np.diff(edges))
-        low = value.astype(np.uint32)
-        again = np.flatnonzero(more)
-        parts_ = [(low[edges[i] : edges[i + 1]].tobytes(), again[np.searchsorted(again, edges[i]) : np.searchsorted(again, edges[i + 1])]) for i in full]
-        return _batch(
-            bucket=full.astype(np.int32), low=pa.array([x for x, _ in parts_], pa.binary()),
-            again=pa.array([low[x].tobytes() for _, x in parts_], pa.binary()), more=pa.array([more[x].astype(np.uint32).tobytes() for _, x in parts_], pa.binary()),
-        )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            buf, offs = text_buffer(batch.column("text"))
-            for lo, hi in chunks(offs):
-                sets = ShingleSets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                parts.append(sets.tokens[sets.of(sets.first_of_class())])
-                size += len(parts[-1])
-                if size >= _TALLY:
-                    yield tally(parts)
-                    parts, size = [], 0
-        yield tally(parts)
-
-    def total(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ints = lambda c: np.frombuffer(b"".join(frame[c]), np.uint32)
-        low, times = np.unique(ints("low"), return_counts=True)
-        np.add.at(times, np.searchsorted(low, ints("again")), ints("more").astype(np.int64))
-        some = times > 1
-        code = mix(low[some].astype(np.uint64) | np.uint64(int(key[0]) << 32))
-        return pd.DataFrame({"code": code.view(np.int64), "times": times[some]})
-
-    return texts.mapInArrow(count, "bucket int, low binary, again binary, more binary").groupBy("bucket").applyInPandas(total, "code bigint, times bigint")
+def _class_tokens(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The tokens of the classes of a chunk; a copy of a text in another chunk counts again."""
+    sets = ShingleSets(buf, offs)
+    return sets.tokens[sets.of(sets.first_of_class())]
 
 
 def token_order(texts: DataFrame, n_tokens: int, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> Order:
     """The order of tokens, from exact counts: a Bloom filter of those shared, and a list of at most ``most`` frequent ones."""
-    log_buckets = min(16, max(10, (n_tokens // _BUCKET).bit_length()))
-    counts = written(texts.sparkSession, shared_tokens(texts, log_buckets), "jaccard-tokens")
+    log_buckets = buckets_for(n_tokens)
+    counts = written(texts.sparkSession, counted(texts, _class_tokens, log_buckets), "jaccard-tokens")
     level = F.floor(F.log2("times")).cast("int")
     steps = counts.filter(F.col("times") >= frequent).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
     fit, least = 0, None

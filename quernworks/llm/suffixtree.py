@@ -1,17 +1,21 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-States are contexts of no, one or two words before a word. A context is kept as a state if its
-next-word distribution diverges from that of its suffix (Kullback-Leibler). A state has the next words
-seen with it a stated number of times; their probabilities are smoothed towards the suffix's, and the
-rest of the state's mass goes to all other words in the suffix's proportions. A word is scored by the
-longest suffix of what stands before it that is a state. The root is the smoothed unigram distribution,
-with one unseen word.
+States are contexts of up to ``depth`` words before a word. Candidates are all contexts with a next word
+seen a stated number of times. A candidate is retained if its next-word distribution diverges from that
+of its suffix, the context without its first word (Kullback-Leibler), and with it all its suffixes. The
+distributions are smoothed towards the suffix's, down to the root, the smoothed unigram distribution
+with one unseen word; the rest of a state's mass goes to all other words in its suffix's proportions. A
+word is scored by the longest suffix of what stands before it that is a state.
 
 The support is a number of sightings, not a share, so the tree grows with the corpus. It lives in
-tables that are grouped and joined by hash, and never comes to the driver. A score is a sum over a
-text's words, pairs and triples: each run of words has a weight, by which it changes what its parts
-say. Only the most frequent runs, of a stated number, go to the executors as a list; the rest are
-scored by a join, and a Bloom filter of them, of bounded size, keeps most unknown runs out of it.
+tables that are grouped and joined by hash, and never comes to the driver. A run of d words and one
+more is named by its context and its tail, the run without its first word. Only runs whose context and
+tail have the support can have it, so each level counts what the level below left: first in little
+space by cut codes, which tells nearly all of those without support, then exactly.
+
+A score is a sum over a text's runs: each has a weight, by which it changes what its parts say. Only
+the most frequent ones, of a stated number, go to the executors as a list; the rest are scored by a
+join, and a Bloom filter of them, of bounded size, keeps most unknown runs out of it.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import written
+from ..session import freed, written
 from .bloom import Filter, filter_of, size_for
+from .tally import buckets_for, counted, cut
 from .textops import Words, chunks, join2, text_buffer
 
 #: The end of a text, as a word hash.
@@ -79,18 +84,19 @@ class Tokens:
         self.doc = np.repeat(np.arange(n), np.diff(self.bounds))
         self.before = np.arange(len(self.hashes)) - self.bounds[self.doc]
 
-
-    def pairs(self) -> np.ndarray:
-        """Codes of the pairs that end at each token; meaningless where before is 0."""
-        out = self.hashes.copy()
-        out[1:] = join2(self.hashes[:-1], self.hashes[1:])
+    def runs(self, level: int) -> np.ndarray:
+        """Codes of the runs of ``level`` words and the token they end at; meaningless where before is under ``level``."""
+        out = self.hashes
+        for _ in range(level):
+            out = longer(out)
         return out
 
-    def triples(self, pairs: np.ndarray) -> np.ndarray:
-        """Codes of the triples that end at each token; meaningless where before is under 2."""
-        out = self.hashes.copy()
-        out[1:] = join2(pairs[:-1], self.hashes[1:])
-        return out
+
+def longer(runs: np.ndarray) -> np.ndarray:
+    """Codes of runs one word longer: that of the context, which ends a token earlier, and of the tail."""
+    out = runs.copy()
+    out[1:] = join2(runs[:-1], runs[1:])
+    return out
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Tokens]]:
@@ -99,68 +105,110 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Tokens]]:
         yield lo, hi, Tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
 
 
-def _tally(parts: list[np.ndarray]) -> pa.RecordBatch:
-    values, times = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], names=["code", "times"])
+def _longs(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names=names)
+
+
+#: Distinct words or runs that a task gathers before it hands on their counts.
+_GATHER = 1 << 20
+
+
+class _Gathered:
+    """Distinct keys with counts and a witness each, gathered over a task."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, *witness: np.ndarray) -> None:
+        _, first, times = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append((keys[first], times, *(w[first] for w in witness)))
+        self.size += len(first)
+        if self.size >= _GATHER and len(self.parts) > 1:
+            merged = self._merged()
+            self.parts, self.size = [merged], len(merged[0])
+
+    def full(self) -> bool:
+        return self.size >= _GATHER
+
+    def _merged(self) -> tuple[np.ndarray, ...]:
+        columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        keys, first, at = np.unique(columns[0], return_index=True, return_inverse=True)
+        times = np.bincount(at, columns[1], len(keys)).astype(np.int64)
+        return keys, times, *(w[first] for w in columns[2:])
+
+    def take(self) -> tuple[np.ndarray, ...] | None:
+        out = self._merged() if self.parts else None
+        self.parts, self.size = [], 0
+        return out
 
 
 def _word_counts(train: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Gathered()
         for batch in batches:
-            yield _tally([t.hashes.view(np.int64) for _, _, t in _chunks(batch)])
+            for _, _, t in _chunks(batch):
+                found.add(t.hashes)
+                if found.full():
+                    yield _longs(*found.take(), names=["code", "times"])
+        if (last := found.take()) is not None:
+            yield _longs(*last, names=["code", "times"])
 
     return train.mapInArrow(count, "code bigint, times bigint").groupBy("code").agg(F.sum("times").alias("times"))
 
 
-def _run_counts(train: DataFrame, level: int, firsts: Filter, lasts: Filter) -> DataFrame:
-    """(context, word, times) of runs of ``level`` words and a word, by the context's code.
+def _runs(t: Tokens, level: int, below: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, contexts and tails of the runs of ``level`` words and one more whose context and tail pass ``below``."""
+    shorter = t.runs(level - 1)
+    known = below.test(shorter)
+    at = np.flatnonzero(t.before >= level)
+    at = at[known[at] & known[at - 1]]
+    context, tail = shorter[at - 1], shorter[at]
+    return join2(context, tail), context, tail
 
-    Left out are runs whose context is not in ``firsts``, or whose last ``level`` words are not in
-    ``lasts``: each must be as frequent as the run.
-    """
-    shared = train.sparkSession.sparkContext.broadcast((firsts, lasts))
+
+def _run_counts(train: DataFrame, level: int, below: Filter, expected: int, support: int) -> DataFrame:
+    """(context, tail, times) of runs of ``level`` words and one more that are seen ``support`` times."""
+    spark = train.sparkSession
+    shared = spark.sparkContext.broadcast(below)
+    log_buckets = buckets_for(expected)
+    likely = counted(train, lambda buf, offs: _runs(Tokens(buf, offs), level, shared.value)[0], log_buckets, support)
+    likely = written(spark, likely, f"pst-likely{level}")
+    passed = spark.sparkContext.broadcast(filter_of(likely, "code", size_for(likely.count())))
+    freed(likely)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, lasts = shared.value
+        found = _Gathered()
         for batch in batches:
-            contexts, words = [], []
             for _, _, t in _chunks(batch):
-                shorter = t.hashes if level == 1 else t.pairs()
-                at = np.flatnonzero(t.before >= level)
-                at = at[firsts.test(shorter[at - 1])]
-                at = at[lasts.test(shorter[at])]
-                contexts.append(shorter[at - 1])
-                words.append(t.hashes[at])
-            context = np.concatenate(contexts) if contexts else np.zeros(0, np.uint64)
-            word = np.concatenate(words) if words else np.zeros(0, np.uint64)
-            _, first, times = np.unique(join2(context, word), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(times.astype(np.int64))], names=["context", "word", "times"])
+                code, context, tail = _runs(t, level, shared.value)
+                some = passed.value.test(cut(code, log_buckets))
+                found.add(code[some], context[some], tail[some])
+                if found.full():
+                    yield _longs(*found.take()[1:], names=["times", "context", "tail"])
+        if (last := found.take()) is not None:
+            yield _longs(*last[1:], names=["times", "context", "tail"])
 
-    return train.mapInArrow(count, "context bigint, word bigint, times bigint").groupBy("context", "word").agg(F.sum("times").alias("times"))
+    runs = train.mapInArrow(count, "times bigint, context bigint, tail bigint")
+    return runs.groupBy("context", "tail").agg(F.sum("times").alias("times")).filter(F.col("times") >= support)
 
 
-def _coded(df: DataFrame, name: str, first: str, last: str) -> DataFrame:
-    """``df`` with the code of the run of two of its columns."""
+def _coded(df: DataFrame) -> DataFrame:
+    """``df`` with the code of the run of its columns context and tail."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(c).to_numpy().view(np.uint64) for c in (first, last))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(join2(a, b).view(np.int64))], names=[*batch.schema.names, name])
-
-    return df.mapInArrow(code, StructType([*df.schema.fields, StructField(name, LongType())]))
-
+            a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "tail"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(join2(a, b).view(np.int64))], names=[*batch.schema.names, "code"])
 
-def _states(edges: DataFrame, divergence: float) -> DataFrame:
-    """(context, log_rest) of the contexts that diverge; edges: context, p, parent (both probabilities)."""
-    sums = edges.groupBy("context").agg(F.sum("p").alias("own"), F.sum("parent").alias("theirs"), F.sum(F.col("p") * F.log(F.col("p") / F.col("parent"))).alias("gain"))
-    rest, theirs = F.greatest(1 - F.col("own"), F.lit(1e-12)), F.greatest(1 - F.col("theirs"), F.lit(1e-12))
-    return sums.filter(F.col("gain") + rest * F.log(rest / theirs) >= divergence).select("context", F.log10(rest / theirs).alias("log_rest"))
+    return df.mapInArrow(code, StructType([*df.schema.fields, StructField("code", LongType())]))
 
 
 @dataclass
 class Tables:
     """The tree as tables: counts (code, times) of words; of each level states (context, log_rest, times,
-    suffix: the code of a one-word state or null) and edges (context, word, times, code, log_p, log_parent)."""
+    suffix: the code of the context without its first word) and edges (context, tail, word, times, code,
+    log_rest, log_parent, log_p)."""
 
     counts: DataFrame
     total: int
@@ -168,46 +216,50 @@ class Tables:
     levels: list[tuple[DataFrame, DataFrame]]
 
 
-def tables(train: DataFrame, counts: DataFrame, depth: int = 2, support: int = 5, divergence: float = 0.01, pull: float = 50.0) -> Tables:
+def tables(train: DataFrame, counts: DataFrame, depth: int = 2, support: int = 5, divergence: float = 0.01, pull: float = 10.0) -> Tables:
     """The tree of the ``text`` column of train; counts: (code, times) of all its words.
 
-    depth is 0, 1 or 2. ``support``: times a run is seen at least, whatever the size of the corpus.
+    ``depth``: words of the longest contexts. ``support``: times a run is seen at least, whatever the size
+    of the corpus. ``pull``: the weight of the suffix's distribution, in sightings.
     """
-    if depth not in (0, 1, 2):
-        raise ValueError("contexts have at most two words")
+    if depth < 0:
+        raise ValueError("contexts have no negative number of words")
     spark = train.sparkSession
     total, distinct = counts.agg(F.sum("times"), F.count(F.lit(1))).first()
     out = Tables(counts, total or 0, distinct, [])
+    # all candidates, level by level: of the runs below (code, times, last: the last word, suffix: the tail, log_p)
     root = F.log10(F.col("times") + 0.5) - F.lit(_log_z(out.total, distinct))
-    # what a level's edges need of the shorter ones: seen of the context, and log_parent of the edge
-    often = written(spark, counts.filter(F.col("times") >= support).select("code", "times", root.alias("root")), "pst-words")
-    firsts = often.filter(F.col("code") != _END)
-    lasts = often
+    below = counts.filter(F.col("times") >= support).select("code", "times", F.col("code").alias("last"), F.lit(None).cast("bigint").alias("suffix"), root.alias("log_p"))
+    below, candidates = written(spark, below, "pst-words"), []
     for level in range(1, depth + 1):
-        bits = [filter_of(x, "code", size_for(x.count())) for x in (firsts, lasts)]
-        runs = written(spark, _run_counts(train, level, *bits).filter(F.col("times") >= support), f"pst-runs{level}")
-        if level == 1:
-            seen = firsts.select(F.col("code").alias("context"), F.col("times").alias("seen"), F.lit(None).cast("bigint").alias("suffix"))
-            edges = runs.join(seen, "context").join(often.select(F.col("code").alias("word"), F.col("root").alias("log_parent")), "word")
+        found = _run_counts(train, level, filter_of(below, "code", size_for(below.count())), out.total, support)
+        found = written(spark, _coded(found), f"pst-runs{level}")
+        contexts = below.select(F.col("code").alias("context"), F.col("times").alias("seen"), "suffix")
+        tails = below.select(F.col("code").alias("tail"), "last", F.col("log_p").alias("log_parent"))
+        edges = found.join(tails, "tail").join(contexts, "context")
+        log_p = F.log10((F.col("times") + pull * F.pow(F.lit(10.0), "log_parent")) / (F.col("seen") + pull))
+        edges = written(spark, edges.withColumn("log_p", log_p), f"pst-edges{level}")
+        freed(found)
+        candidates.append(edges)
+        if level < depth:
+            below = edges.select("code", "times", "last", F.col("tail").alias("suffix"), "log_p")
+    # from the longest contexts on: those that diverge, and the suffixes of those retained
+    wanted = None
+    for level, edges in reversed(list(enumerate(candidates, 1))):
+        p, parent = F.pow(F.lit(10.0), "log_p"), F.pow(F.lit(10.0), "log_parent")
+        sums = edges.groupBy("context").agg(F.sum(p).alias("own"), F.sum(parent).alias("theirs"), F.sum(p * F.log(p / parent)).alias("gain"), F.first("suffix").alias("suffix"), F.first("seen").alias("times"))
+        rest, theirs = F.greatest(1 - F.col("own"), F.lit(1e-12)), F.greatest(1 - F.col("theirs"), F.lit(1e-12))
+        sums = sums.select("context", "suffix", "times", F.log10(rest / theirs).alias("log_rest"), (F.col("gain") + rest * F.log(rest / theirs)).alias("gain"))
+        if wanted is not None:
+            sums = sums.join(wanted.withColumn("is_suffix", F.lit(True)), "context", "left")
+            sums = sums.filter((F.col("gain") >= divergence) | F.col("is_suffix")).drop("is_suffix")
         else:
-            # the parent of (x, y) z is y z: an edge of the state y, or its rest and the root
-            states, pairs = out.levels[0]
-            seen = lasts.filter(F.col("word") != _END).join(states.select(F.col("context").alias("word"), "log_rest"), "word")
-            seen = seen.select(F.col("code").alias("context"), F.col("times").alias("seen"), F.col("word").alias("suffix"), F.col("log_rest").alias("suffix_rest"))
-            edges = _coded(runs.join(seen, "context"), "shorter", "suffix", "word")
-            edges = edges.join(pairs.select(F.col("code").alias("shorter"), F.col("log_p").alias("shorter_p")), "shorter", "left").join(often.select(F.col("code").alias("word"), "root"), "word")
-            edges = edges.withColumn("log_parent", F.coalesce("shorter_p", F.col("suffix_rest") + F.col("root")))
-        p = (F.col("times") + pull * F.pow(F.lit(10.0), "log_parent")) / (F.col("seen") + pull)
-        edges = written(spark, edges.select("context", "word", "times", "seen", "suffix", "log_parent", F.log10(p).alias("log_p")), f"pst-edges{level}")
-        probs = edges.select("context", F.pow(F.lit(10.0), "log_p").alias("p"), F.pow(F.lit(10.0), "log_parent").alias("parent"))
-        states = written(spark, _states(probs, divergence), f"pst-diverge{level}")
-        kept = edges.join(states, "context")
-        states = written(spark, kept.groupBy("context", "log_rest").agg(F.first("suffix").alias("suffix"), F.first("seen").alias("times")), f"pst-states{level}")
-        edges = written(spark, _coded(kept.select("context", "word", "times", "log_rest", "log_parent", "log_p"), "code", "context", "word"), f"pst-level{level}")
-        out.levels.append((states, edges))
-        if level == 1:
-            lasts = written(spark, _coded(runs, "code", "context", "word").select("code", "word", "times"), "pst-pairs")
-            firsts = lasts.filter(F.col("word") != _END).join(states.select(F.col("context").alias("word")), "word", "left_semi")
+            sums = sums.filter(F.col("gain") >= divergence)
+        states = written(spark, sums.drop("gain"), f"pst-states{level}")
+        wanted = states.select(F.col("suffix").alias("context")).distinct()
+        kept = edges.drop("suffix", "seen").join(states.select("context", "log_rest"), "context").withColumnRenamed("last", "word")
+        out.levels.insert(0, (states, written(spark, kept, f"pst-level{level}")))
+        freed(edges)
     return out
 
 
@@ -246,10 +298,10 @@ def _log_p(tree: Tree, level: int, state: np.ndarray, word: np.ndarray) -> np.nd
 
 
 def _weights(tree: Tables) -> DataFrame:
-    """(code, times, root, weight, known) of all runs that change a score: words, and pairs and triples of edges or states.
+    """(code, times, root, weight, known) of all runs that change a score: words, and runs of edges or states.
 
     root and weight are against the one unseen word for words, and 0 and against the shorter runs for others.
-    A word's weight has its rest as a context, and so has a pair's: a word always follows, unless it is END.
+    A word's weight has its rest as a context, and so has a run's: a word always follows, unless it is END.
     """
     unseen = F.log10(F.lit(0.5))
     parts = [tree.counts.select("code", "times", (F.log10(F.col("times") + 0.5) - unseen).alias("root"), (F.log10(F.col("times") + 0.5) - unseen).alias("weight"), F.lit(1).alias("known"))]
@@ -281,7 +333,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, most_words: int = 1 <<
     Learns from rows whose crc32 of the id's text, modulo ``folds``, is not ``held``. A null id counts
     as an empty one, a null text as empty (its end alone); repeated rows count each; without training
     rows every word has the one unseen word's probability, 1; an empty table gives no rows. At most
-    ``most_words`` words and ``most_runs`` pairs and triples are scored from a list, the others by a
+    ``most_words`` words and ``most_runs`` runs are scored from a list, the others by a
     join: this changes the cost, not the scores.
     """
     spark = docs.sparkSession
@@ -300,7 +352,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, most_words: int = 1 <<
     seen = filter_of(tail, "code", size_for(tail.count()))
     shared = spark.sparkContext.broadcast((code.view(np.uint64)[order], root[order], weight[order], known[order].astype(bool), seen))
     unseen = float(np.log10(0.5)) - _log_z(tree.total, tree.distinct)
-    kind = base.schema["doc_id"].dataType.simpleString()
+    kind, depth = base.schema["doc_id"].dataType.simpleString(), len(tree.levels)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, root, weight, known, seen = shared.value
@@ -309,10 +361,10 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, most_words: int = 1 <<
             n_tokens, n_known, roots, scores, rare, ends = [], [], [], [], [], []
             for _, _, t in _chunks(batch):
                 n = len(t.bounds) - 1
-                pairs = t.pairs()
                 sums = [np.zeros(n) for _ in range(3)]
-                rest, doc = [], []
-                for runs, level in ((t.hashes, 0), (pairs, 1), (t.triples(pairs), 2)):
+                rest, doc, runs = [], [], t.hashes
+                for level in range(depth + 1):
+                    runs = longer(runs) if level else runs
                     on = np.flatnonzero(t.before >= level)
                     at = _find(code, runs[on])
                     hit = at >= 0

@@ -230,50 +230,73 @@ def test_suffix_tree_is_a_distribution_and_learns(spark):
     assert held[1] > 0.7 * held[0]
 
 
-def brute_tree_scores(train, texts, support=5, divergence=0.01, pull=50.0):
-    """Scores by dictionaries of all counts of words, pairs and triples."""
-    count = [Counter(), Counter(), Counter()]
-    for ws in train:
-        for k in range(3):
-            count[k].update(tuple(ws[i : i + k + 1]) for i in range(len(ws) - k))
-    z = sum(count[0].values()) + 0.5 * (len(count[0]) + 1)
-    edges, rests = {}, {}
+def brute_tree_scores(train, texts, depth=2, support=5, divergence=0.01, pull=10.0):
+    """Scores by dictionaries of all counts of runs, and the number of states of each length."""
+    count = Counter(tuple(ws[i : i + k]) for ws in train for k in range(1, depth + 2) for i in range(len(ws) - k + 1))
+    words = {r[0]: n for r, n in count.items() if len(r) == 1}
+    z = sum(words.values()) + 0.5 * (len(words) + 1)
+    nexts = defaultdict(dict)
+    for run, n in count.items():
+        if n >= support and len(run) > 1:
+            nexts[run[:-1]][run[-1]] = n
+
+    def candidate(context, word):  # as if all candidates were states
+        if not context:
+            return (words.get(word, 0) + 0.5) / z
+        return (nexts[context][word] + pull * candidate(context[1:], word)) / (count[context] + pull)
+
+    states = {}
+    for context in sorted(nexts, key=len, reverse=True):
+        own = {w: candidate(context, w) for w in nexts[context]}
+        parent = {w: candidate(context[1:], w) for w in own}
+        a, b = max(1 - sum(own.values()), 1e-12), max(1 - sum(parent.values()), 1e-12)
+        if context in states or sum(x * math.log(x / parent[w]) for w, x in own.items()) + a * math.log(a / b) >= divergence:
+            states[context] = (a / b, own)
+            if context[1:]:
+                states.setdefault(context[1:], None)
 
     def p(context, word):
+        while context and context not in states:
+            context = context[1:]
         if not context:
-            return (count[0][word,] + 0.5) / z
-        if context not in rests:
-            return p(context[1:], word) if len(context) == 1 else p((), word) if context[1:] not in rests else p(context[1:], word)
-        return edges[*context, word] if (*context, word) in edges else rests[context] * p(context[1:], word)
-
-    for k in (1, 2):
-        nexts = defaultdict(dict)
-        for run, n in count[k].items():
-            if n >= support and (k == 1 or run[1:2] in rests):
-                nexts[run[:-1]][run[-1]] = n
-        new = {}
-        for context, ns in nexts.items():
-            parent = {w: p(context[1:], w) for w in ns}
-            own = {w: (n + pull * parent[w]) / (count[k - 1][context] + pull) for w, n in ns.items()}
-            a, b = max(1 - sum(own.values()), 1e-12), max(1 - sum(parent.values()), 1e-12)
-            if sum(x * math.log(x / parent[w]) for w, x in own.items()) + a * math.log(a / b) >= divergence:
-                new[context] = a / b, own
-        for context, (rest, own) in new.items():
-            rests[context] = rest
-            edges |= {(*context, w): x for w, x in own.items()}
-    return [sum(math.log10(p(tuple(ws[max(0, i - 2) : i]), w)) for i, w in enumerate(ws)) for ws in texts]
+            return candidate((), word)
+        rest, own = states[context]
+        return own[word] if word in own else rest * p(context[1:], word)
+
+    scores = [sum(math.log10(p(tuple(ws[max(0, i - depth) : i]), w)) for i, w in enumerate(ws)) for ws in texts]
+    return scores, Counter(map(len, states))
 
 
 def test_suffix_tree_scores_whole_tree(spark, small):
     df = spark.createDataFrame(small, "doc_id bigint, text string")
     texts = [[*map(brute.lower_az, brute.words(t)), None] for _, t in small]
     train = [ws for (d, _), ws in zip(small, texts, strict=True) if zlib.crc32(str(d).encode()) % 5 != 1]
-    want = {d: x for (d, _), x in zip(small, brute_tree_scores(train, texts), strict=True)}
-    for options in ({}, {"most_words": 100, "most_runs": 100}):
+    for options in ({}, {"most_words": 100, "most_runs": 100}, {"depth": 3, "support": 3, "divergence": 0.3, "pull": 2.0}):
+        tree = {k: v for k, v in options.items() if not k.startswith("most")}
+        scores, states = brute_tree_scores(train, texts, **tree)
+        want = {d: x for (d, _), x in zip(small, scores, strict=True)}
+        assert all(states[k] > 3 for k in range(1, 1 + options.get("depth", 2))), states
         found = suffixtree.score(df, **options).collect()
         assert all(r.score == pytest.approx(want[r.doc_id], abs=1e-4) for r in found) and len(found) == len(small)
 
 
+def test_suffix_tree_learns_what_only_two_words_tell(spark):
+    """The next word depends on the last two, and on neither alone."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(400):
+        bits = [int(rng.integers(0, 2)) for _ in range(2)]
+        for _ in range(40):
+            bits.append(bits[-1] ^ bits[-2] if rng.random() < 0.95 else 1 - (bits[-1] ^ bits[-2]))
+        rows.append((i, " ".join("pq"[b] + ("a", "b")[k % 2] for k, b in enumerate(bits))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    train = df.select("text")
+    tree = suffixtree.grow(train, suffixtree._word_counts(train), divergence=0.05)
+    assert len(tree.levels[0]["contexts"]) == 4 and len(tree.levels[1]["contexts"]) == 8
+    held = suffixtree.score(df).filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert held[1] > 0.5 * held[0]
+
+
 def test_suffix_tree_keeps_supported_runs_of_a_large_corpus(spark):
     rng = np.random.default_rng(5)
     filler = [(i, " ".join(f"f{w}" for w in rng.integers(0, 400, 6000))) for i in range(1000, 1100)]
