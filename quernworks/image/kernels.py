@@ -213,6 +213,14 @@ def provided_mask(pixels: np.ndarray) -> np.ndarray:
     return pixels[..., 3] == 0 if pixels.shape[2] == 4 else (pixels == 0).all(axis=2)
 
 
+def stored_mask(pixels: np.ndarray) -> np.ndarray:
+    """A mask as it is stored, white for edited, in gray or color: luminance (ITU-R 601, in whole numbers) over 127."""
+    if pixels.ndim == 2:
+        return pixels > 127
+    r, g, b = (pixels[..., i].astype(np.int64) for i in range(3))
+    return (19595 * r + 38470 * g + 7471 * b + 32768) >> 16 > 127
+
+
 def fit_long_side(pixels: np.ndarray, most: int = 448) -> np.ndarray:
     h, w = pixels.shape[:2]
     scale = most / max(h, w)

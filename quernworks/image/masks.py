@@ -230,7 +230,7 @@ def compare_masks(rows: DataFrame, a: str = "mask_a", b: str = "mask_b") -> Data
                 if x is None or y is None:
                     out.append((name, None, None, None, None))
                     continue
-                x, y = (kernels.provided_mask(png.decode(m)) for m in (x, y))
+                x, y = (kernels.stored_mask(png.decode(m)) for m in (x, y))
                 out.append((name, *kernels.overlap(x, y), float(x.mean()), float(y.mean())))
             yield pd.DataFrame(out, columns=["triplet_id", "iou", "dice", "area_a", "area_b"])
 

@@ -34,6 +34,11 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _keep(df, keys, order, F.min_by)
 
 
+def first_of_rest(df: DataFrame, done: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key that ``done``, what earlier runs have finished, does not hold yet."""
+    return keep_first(df.join(done.select(key), key, "left_anti").select(df.columns), [key], order)
+
+
 def colliding(df: DataFrame, key: Column) -> DataFrame:
     """(_key, n) of keys with two rows or more; null keys never collide."""
     return df.select(key.alias("_key")).filter("_key is not null").groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -1,7 +1,8 @@
 """Exact statistics of columns: quantiles, bins, cross-tabs, correlations, sweeps, summaries.
 
-Numbers of the whole table (quantiles, totals) enter other rows as scalar subqueries: one aggregation,
-no join.
+A quantile aggregation holds all distinct values of a group in one task, so it is used only for groups
+that a count has found small. Those of larger groups come from counts by ranges of values, which are
+narrowed down to the range that holds the wanted place.
 """
 
 from __future__ import annotations
@@ -10,28 +11,115 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BINS
+from ..session import written
 from .dedup import keep_last
 
 QUARTILES = (0.25, 0.5, 0.75)
+_QUARTERS = {f"q{round(100 * p)}": p for p in QUARTILES}
+
+
+#: Values that a group may have for its quantiles to be taken in one task.
+MOST_IN_A_TASK = 1 << 18
 
 
 def quantile(x: Column | str, p: float) -> Column:
-    """Linearly interpolated, exact."""
+    """Linearly interpolated, exact; holds all distinct values of a group."""
     return F.percentile(x, F.lit(float(p)))
 
 
-def tertile_bounds(df: DataFrame, score: str) -> tuple[Column, Column]:
-    """The scores' lower and upper tertile as scalar columns; NaN if any score is NaN."""
-    any_nan = F.coalesce(F.bool_or(F.isnan(score)), F.lit(False))
-    both = F.percentile(score, F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    nan = F.array(F.lit(float("nan")), F.lit(float("nan")))
-    found = df.agg(F.when(any_nan, nan).otherwise(both)).scalar()  # one subquery for both
-    return F.get(found, F.lit(0)), F.get(found, F.lit(1))
+def _order_statistics(df: DataFrame, keys: list[str], limits: dict[tuple, tuple[float, float]], wanted: dict[tuple, set[int]], most: int, bins: int) -> dict[tuple, dict[int, float]]:
+    """The k-th values (from 0) of column x of each group, by narrowing; limits: least and greatest value."""
+    spark, found = df.sparkSession, {g: {} for g in wanted}
+    # open ranges of a group: a number, limits, values before it, and places wanted in it
+    open_ = [(g, *limits[g], 0, ks) for g, ks in wanted.items() if ks]
+    rows = df.withColumn("__range", F.lit(0))
+    while open_:
+        listed = [(i, *g, float(lo), float(hi)) for i, (g, lo, hi, _, _) in enumerate(open_)]
+        kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+        ranges = F.broadcast(spark.createDataFrame(listed, ", ".join(["__at int", *kinds, "__lo double", "__hi double"])))
+        same = F.col("x").between(F.col("r.__lo"), F.col("r.__hi"))
+        for k in keys:
+            same = same & F.col(f"v.{k}").eqNullSafe(F.col(f"r.{k}"))
+        step = F.least(F.floor((F.col("x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))
+        inside = df.alias("v").join(ranges.alias("r"), same).select("__at", "x", F.when(F.col("__hi") > F.col("__lo"), step).otherwise(0).alias("__bin"))
+        counts = inside.groupBy("__at", "__bin").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        after, few = [], []
+        for i, (g, _, _, before, ks) in enumerate(open_):
+            for r in sorted((r for r in counts if r["__at"] == i), key=lambda r: r["__bin"]):
+                here = {k for k in ks if before <= k < before + r.n}
+                if here and r.lo == r.hi:
+                    found[g] |= dict.fromkeys(here, r.lo)
+                elif here:
+                    (few if r.n <= most else after).append((g, r.lo, r.hi, before, here))
+                before += r.n
+        if few:
+            listed = [(i, *g, float(lo), float(hi)) for i, (g, lo, hi, _, _) in enumerate(few)]
+            ranges = F.broadcast(spark.createDataFrame(listed, ", ".join(["__at int", *kinds, "__lo double", "__hi double"])))
+            values = df.alias("v").join(ranges.alias("r"), same).groupBy("__at").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+            place = F.explode(F.array(*[F.lit(k) for k in sorted({k - before for *_, before, ks in few for k in ks})]))
+            for r in values.select("__at", "xs", place.alias("k")).select("__at", "k", F.get("xs", F.col("k")).alias("x")).collect():
+                g, _, _, before, ks = few[r["__at"]]
+                if before + r.k in ks:
+                    found[g][before + r.k] = r.x
+        open_ = after
+    return found
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], column: str, ps: tuple[float, ...], most: int = MOST_IN_A_TASK, bins: int = 1024) -> DataFrame:
+    """keys and q0, q1, ...: linearly interpolated quantiles of the non-null values of each group.
+
+    NaN is greater than all numbers; a group without values has nulls. Groups are those of a report: a
+    row of each comes to the driver, and a count by range of those with over ``most`` values.
+    """
+    spark = df.sparkSession
+    named = [f"q{i}" for i in range(len(ps))]
+    rows = df.select(*keys, F.col(column).cast("double").alias("x"))
+    whole = F.when(~F.isnan("x"), F.col("x"))
+    sizes = rows.groupBy(*keys).agg(F.count("x").alias("n"), F.count(whole).alias("m"), F.min(whole).alias("lo"), F.max(whole).alias("hi")).collect()
+    if all(r.n <= most for r in sizes):
+        both = F.percentile("x", F.array(*[F.lit(float(p)) for p in ps]))
+        return rows.groupBy(*keys).agg(both.alias("q")).select(*keys, *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(named)])
+    group = lambda r: tuple(r[k] for k in keys)
+    places = {group(r): [(r.n - 1) * float(p) for p in ps] for r in sizes if r.n}
+    finite = {group(r): r.m for r in sizes}
+    wanted = {g: {k for h in hs for k in (int(h), min(int(h) + 1, int(-(-h // 1)))) if k < finite[g]} for g, hs in places.items()}
+    found = _order_statistics(rows.filter(~F.isnan("x")), keys, {group(r): (r.lo, r.hi) for r in sizes}, wanted, most, bins)
+    nan, out = float("nan"), []
+    for r in sizes:
+        g, values = group(r), [None] * len(ps)
+        for i, h in enumerate(places.get(g, ())):
+            low, high = (found[g].get(k, nan) for k in (int(h), int(-(-h // 1))))
+            values[i] = low if low == high else low + (high - low) * (h - int(h))
+        out.append((*g, *values))
+    kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+    return F.broadcast(spark.createDataFrame(out, ", ".join([*kinds, *[f"{c} double" for c in named]])))
+
+
+def _with_quantiles(made: DataFrame, df: DataFrame, keys: list[str], column: str, names: dict[str, float]) -> DataFrame:
+    """``made``, one row a group, with the quantiles of df's column by name."""
+    found = exact_quantiles(df, keys, column, tuple(names.values()))
+    found = found.select(*[F.col(k).alias(f"__q_{k}") for k in keys], *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__q_{k}"))
+    return made.join(F.broadcast(found), same).drop(*[f"__q_{k}" for k in keys])
+
+
+def tertile_bounds(df: DataFrame, score: str) -> tuple[float | None, float | None]:
+    """The scores' lower and upper tertile; NaN if any score is NaN, null without scores."""
+    if df.agg(F.coalesce(F.bool_or(F.isnan(score)), F.lit(False))).first()[0]:
+        return float("nan"), float("nan")
+    found = exact_quantiles(df, [], score, (1 / 3, 2 / 3)).first()
+    return (found.q0, found.q1) if found else (None, None)
 
 
 def with_tertile_bins(df: DataFrame, score: str, out: str = "difficulty_bin") -> DataFrame:
-    """easy up to the lower tertile, hard above the upper one, else medium; all are medium if any score is NaN."""
-    low, high = tertile_bounds(df, score)
+    """easy up to the lower tertile, hard above the upper one, else medium; all are medium if any score is NaN.
+
+    The rows are written to the scratch folder first, so what scores cost is spent once.
+    """
+    df = written(df.sparkSession, df, "scored")
+    low, high = (F.lit(x).cast("double") for x in tertile_bounds(df, score))
     s = F.col(score)
     nan = F.isnan(low)
     return df.withColumn(out, F.when(s.isNull(), None).when(nan, "medium").when(s <= low, "easy").when(s > high, "hard").otherwise("medium"))
@@ -40,7 +128,8 @@ def with_tertile_bins(df: DataFrame, score: str, out: str = "difficulty_bin") ->
 def score_summary(df: DataFrame, score: str, bin_: str = "difficulty_bin") -> DataFrame:
     """One row: n, mean, std (of the population), q33, q66, and the bins' counts."""
     counts = [F.count_if(F.col(bin_) == b).alias(f"n_{b}") for b in BINS]
-    return df.agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), quantile(score, 1 / 3).alias("q33"), quantile(score, 2 / 3).alias("q66"), *counts)
+    made = df.agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), *counts)
+    return _with_quantiles(made, df, [], score, {"q33": 1 / 3, "q66": 2 / 3}).select("n", "mean", "std", "q33", "q66", *[f"n_{b}" for b in BINS])
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: tuple[str, ...] = BINS) -> DataFrame:
@@ -97,9 +186,10 @@ def _stacked(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def component_stats(df: DataFrame, columns: list[str], zero_share: tuple[str, ...] = ()) -> DataFrame:
     """By component: n, mean, std (of the population), min, quartiles, max, and the share of zeros where asked for."""
-    quarters = [quantile("x", p).alias(f"q{round(100 * p)}") for p in QUARTILES]
     zero = F.avg(F.when(F.col("x") == 0, 1.0).otherwise(0.0))
-    made = _stacked(df, columns).groupBy("component").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), *quarters, F.max("x").alias("max"), zero.alias("frac_eq_0"))
+    rows = _stacked(df, columns)
+    made = rows.groupBy("component").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), zero.alias("frac_eq_0"))
+    made = _with_quantiles(made, rows, ["component"], "x", _QUARTERS)
     return made.withColumn("frac_eq_0", F.when(F.col("component").isin(list(zero_share)), F.col("frac_eq_0")))
 
 
@@ -125,11 +215,19 @@ def weighted_spread(df: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def with_average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Ranks with ties at their mean: counts by value, then a running sum over distinct values."""
-    values = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = values.withColumn(out, upto - (F.col("_n") - 1) / 2.0).drop("_n")
-    return df.join(ranks.withColumnRenamed(column, "_v"), F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
+    """Ranks with ties at their mean, null first and NaN last.
+
+    Counts by value are dealt by ranges of values; a range's ranks begin after the counts of all before
+    it, so only one number a range is summed up in one place.
+    """
+    values = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(column)
+    values = written(df.sparkSession, values.withColumn("_part", F.spark_partition_id()), "ranked")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    parts = values.groupBy("_part").agg(F.sum("_n").alias("_sum"))
+    parts = parts.select("_part", (F.sum("_sum").over(upto(Window.orderBy("_part"))) - F.col("_sum")).alias("_before"))
+    inner = F.sum("_n").over(upto(Window.partitionBy("_part").orderBy(column)))
+    ranks = values.withColumn("_in", inner).join(F.broadcast(parts), "_part").select(F.col(column).alias("_v"), (F.col("_before") + F.col("_in") - (F.col("_n") - 1) / 2.0).alias(out))
+    return df.join(ranks, F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -157,9 +255,9 @@ def candidate_thresholds(sweep: DataFrame, targets: list[float], run: str | None
 
 def sweep_stats(df: DataFrame, value: str, scope: str, run: str | None = None) -> DataFrame:
     keys = [run] if run else []
-    quarters = [quantile(value, p).alias(f"p{round(100 * p)}") for p in QUARTILES]
     whole = F.count_if(F.col(scope) == "global")
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), *quarters, whole.alias("n_global"), F.try_divide(whole, F.count(F.lit(1))).alias("global_rate"))
+    made = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), whole.alias("n_global"), F.try_divide(whole, F.count(F.lit(1))).alias("global_rate"))
+    return _with_quantiles(made, df, keys, value, {f"p{round(100 * p)}": p for p in QUARTILES})
 
 
 def overlap_summary(df: DataFrame, by: str | None = None, iou: str = "iou", dice: str = "dice") -> DataFrame:
@@ -168,13 +266,13 @@ def overlap_summary(df: DataFrame, by: str | None = None, iou: str = "iou", dice
     x = F.col(iou)
     bins = [F.count_if((x >= lo) & (x < hi)) for lo, hi in zip(edges, edges[1:], strict=False)] + [F.count_if((x >= edges[-1]) & (x <= 1.0))]
     aggregates = [
-        F.count(F.lit(1)).alias("n"), F.avg(iou).alias("mean_iou"), F.avg(dice).alias("mean_dice"), *[quantile(iou, p).alias(f"q{round(100 * p)}") for p in QUARTILES],
+        F.count(F.lit(1)).alias("n"), F.avg(iou).alias("mean_iou"), F.avg(dice).alias("mean_dice"),
         *[b.alias(f"bin{i}") for i, b in enumerate(bins)], F.avg(F.when(x >= 0.6, 1.0).otherwise(0.0)).alias("frac_iou_06"),
     ]
     if by is None:
-        return df.agg(*aggregates)
-    named = df.withColumn("_by", F.explode(F.array(F.lit("(all)"), F.col(by))))
-    return named.groupBy(F.col("_by").alias(by)).agg(*aggregates)
+        return _with_quantiles(df.agg(*aggregates), df, [], iou, _QUARTERS)
+    named = df.select(iou, dice, F.explode(F.array(F.lit("(all)"), F.col(by))).alias(by))
+    return _with_quantiles(named.groupBy(by).agg(*aggregates), named, [by], iou, _QUARTERS)
 
 
 def segment_summary(pairs: DataFrame, a: str, b: str) -> DataFrame:

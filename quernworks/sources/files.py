@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..image import png
 from ..operators.dedup import with_position
 from ..schemas import read_table
 
@@ -107,10 +109,33 @@ def read_labels(spark: SparkSession, path: str) -> dict[str, str]:
     return labels
 
 
+def _png_of_pixels(images: DataFrame) -> DataFrame:
+    """(path, content): images that the JVM has decoded, as PNG bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            contents = []
+            for height, width, channels, data in zip(frame["height"], frame["width"], frame["nChannels"], frame["data"], strict=True):
+                pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+                # blue, green, red, and maybe alpha
+                contents.append(png.encode(pixels[..., 0] if channels == 1 else pixels[..., [2, 1, 0, 3][:channels]]))
+            yield pd.DataFrame({"path": frame["origin"], "content": contents})
+
+    flat = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    return flat.mapInPandas(run, "path string, content binary")
+
+
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content): files below a folder as bytes, one row a file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.regexp_replace("path", r"^file:/*(?=/)", "").alias("path"), "content")
+    """(path, content): image files below a folder as PNG bytes, one row a file.
+
+    PNG files are taken as they are; JPEG files are decoded by Spark's image source, and those that it
+    cannot read are left out. There is no reader of WebP here; such files come as they are.
+    """
+    read = lambda kind, names: spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", names)
+    plain = read("binaryFile", "*.{png,PNG,webp,WEBP}").load(folder).select("path", "content")
+    jpeg = read("image", "*.{jpg,jpeg,JPG,JPEG}").option("dropInvalid", True).load(folder)
+    both = plain.unionByName(_png_of_pixels(jpeg))
+    return both.select(F.regexp_replace("path", r"^file:/*(?=/)", "").alias("path"), "content")
 
 
 def image_pairs(triplets: DataFrame, images: DataFrame) -> DataFrame:
@@ -120,6 +145,13 @@ def image_pairs(triplets: DataFrame, images: DataFrame) -> DataFrame:
     return triplets.join(real, "real_path").join(edited, "edited_path").select("triplet_id", "real", "edited")
 
 
+def write_rows_beside(rows: DataFrame, report: str) -> str:
+    """Writes the rows behind a report ``x.json`` as the Parquet folder ``x.per_triplet.parquet`` and returns its path."""
+    path = report.removesuffix(".json") + ".per_triplet.parquet"
+    rows.write.mode("overwrite").parquet(path)
+    return path
+
+
 def write_images(rows: DataFrame, folder: str, content: str = "mask_png", overwrite: bool = True) -> DataFrame:
     """Writes (triplet_id, content) as files by temporary names; returns (triplet_id, mask_path) when it runs.
 

@@ -105,3 +105,26 @@ def test_spearman_with_ties(spark):
     rows = spark.createDataFrame([(1.0, 2.0), (1.0, 1.0), (2.0, 3.0), (3.0, 3.0)], "a double, b double")
     a, b = calibrate.average_ranks(np.array([1, 1, 2, 3.0])), calibrate.average_ranks(np.array([2, 1, 3, 3.0]))
     assert stats.spearman(rows, "a", "b").first().rho == pytest.approx(np.corrcoef(a, b)[0, 1])
+
+
+def test_quantiles_by_ranges_equal_numpy(spark):
+    """Groups over the bound for one task: hot values, ties, NaN, nulls, one value, none."""
+    rng = np.random.default_rng(4)
+    groups = {
+        "many": rng.normal(size=5000), "hot": np.where(rng.random(4000) < 0.6, 7.0, rng.integers(0, 30, 4000)), "one": np.full(900, 3.5),
+        "wide": np.concatenate([rng.random(2000) * 1e-9, [1e12]]), "nan": np.where(rng.random(1000) < 0.7, np.nan, rng.random(1000)), "few": rng.random(5),
+    }
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("many", None), ("none", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    ps = (0.0, 0.25, 1 / 3, 0.5, 0.999, 1.0)
+    for most in (100, 1 << 18):
+        found = {r.g: r[1:] for r in stats.exact_quantiles(df, ["g"], "x", ps, most=most, bins=16).collect()}
+        for g, xs in groups.items():
+            full = np.sort(xs)  # NaN last
+            at = [(len(full) - 1) * p for p in ps]
+            want = [full[int(h)] if h == int(h) else full[int(h)] + (full[int(h) + 1] - full[int(h)]) * (h - int(h)) for h in at]
+            assert np.allclose(found[g], want, rtol=1e-9, atol=1e-15, equal_nan=True), (most, g)
+        assert found["none"] == (None,) * len(ps) and found[None][3] == 1.5
+    ranked = stats.with_average_rank(df.filter("g = 'hot'"), "x", "r").select("x", "r").distinct().collect()
+    xs = np.sort(groups["hot"])
+    assert all(r.r == (np.searchsorted(xs, r.x, "left") + np.searchsorted(xs, r.x, "right") + 1) / 2 for r in ranked)
