@@ -21,7 +21,8 @@ def average_ranks(x: np.ndarray) -> np.ndarray:
 
 
 def rank_correlation(x: np.ndarray, y: np.ndarray) -> float:
-    a, b = average_ranks(x), average_ranks(y)
+    """Spearman's; values that differ by less than sums of fractions are exact to are ties."""
+    a, b = average_ranks(np.round(x, 9)), average_ranks(y)
     if a.std() == 0 or b.std() == 0:
         return 0.0
     return float(np.corrcoef(a, b)[0, 1])
@@ -50,18 +51,24 @@ def fit_weights(components: np.ndarray, ranks: np.ndarray, start: np.ndarray, st
     return best, rho
 
 
-def calibrate(difficulty: DataFrame, labels: dict[str, str], weights: dict[str, float] = WEIGHTS_V1) -> dict:
-    """Joins labels ({triplet_id: easy, medium or hard}) and fits weights; labels are few, given by hand."""
-    odd = sorted({v for v in labels.values()} - {"easy", "medium", "hard"})
-    if odd:
-        raise ValueError(f"labels must be easy, medium or hard, not {odd}")
+def calibrate(difficulty: DataFrame, labels: dict[str, str] | DataFrame, weights: dict[str, float] = WEIGHTS_V1, rounds: int = 3, most_labels: int = 100_000) -> dict:
+    """Joins labels (triplet_id, label: easy, medium or hard) and fits weights to them on the driver.
+
+    Labels are given by hand, so they are few; of more than ``most_labels`` labelled rows, those of the
+    least md5 of their ids are used.
+    """
     spark, names = difficulty.sparkSession, list(weights)
-    given = spark.createDataFrame(sorted(labels.items()), "triplet_id string, label string")
-    rows = difficulty.join(F.broadcast(given), "triplet_id").select(*names, rank_of(F.col("label")).alias("rank")).toPandas()
+    given = spark.createDataFrame(sorted(labels.items()), "triplet_id string, label string") if isinstance(labels, dict) else labels.select("triplet_id", "label")
+    odd = given.filter(~F.coalesce(F.col("label").isin("easy", "medium", "hard"), F.lit(False))).select("label").distinct().limit(5).collect()
+    if odd:
+        raise ValueError(f"labels must be easy, medium or hard, not {[r.label for r in odd]}")
+    rows = difficulty.select("triplet_id", *names).join(given.withColumnRenamed("label", "__label"), "triplet_id")
+    rows = rows.select(*names, rank_of(F.col("__label")).alias("__rank"), F.md5(F.col("triplet_id").cast("string")).alias("__at"))
+    rows = rows.orderBy("__at").limit(most_labels).toPandas()
     if len(rows) < FEW:
         warnings.warn(f"only {len(rows)} labelled rows", stacklevel=2)
-    x, y, start = rows[names].to_numpy(float), rows["rank"].to_numpy(float), np.array(list(weights.values()))
+    x, y, start = rows[names].to_numpy(float), rows["__rank"].to_numpy(float), np.array(list(weights.values()))
     if not len(rows):
         return {"n": 0, "weights": dict(weights), "rho": None, "baseline_rho": None}
-    best, rho = fit_weights(x, y, start / start.sum())
+    best, rho = fit_weights(x, y, start / start.sum(), rounds=rounds)
     return {"n": len(rows), "weights": dict(zip(names, best.tolist(), strict=True)), "rho": rho, "baseline_rho": rank_correlation(x @ start, y)}

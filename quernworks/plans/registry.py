@@ -488,16 +488,17 @@ def bootstrap_paired(spark, sf):
     return rounded(found, "mean_a", "mean_b", "delta", "ci_low", "ci_high", "p_value_one_sided")
 
 
-@query()
+@query(f"""with {_OVERLAP_SQL}, rows_ as (select iou as a, dice as b, unnest(['(all)', label::varchar]) as "group" from ov)
+select "group", count(*) as n, round(avg(a), 6) as mean_a, round(avg(b), 6) as mean_b, round(avg(b - a), 6) as delta, true as near_normal from rows_ group by 1""")
 def bootstrap_exact(spark, sf):
-    return bootstrap.grouped_bootstrap(_overlaps(spark, sf), "iou", "dice", "vec_id", "label", 200, 5)
-
-
-@query()
-def calibrated_weights(spark, sf):
-    rows = _difficulty(spark, sf, scores.ScoreConfig(version=1)).orderBy("triplet_id").limit(120).select("triplet_id", "difficulty_bin").collect()
-    found = calibrate.calibrate(_difficulty(spark, sf, scores.ScoreConfig(version=1)), {r[0]: r[1] for r in rows})
-    return spark.createDataFrame([(found["n"], found["rho"], found["baseline_rho"], found["weights"])], "n bigint, rho double, baseline_rho double, weights map<string,double>")
+    """near_normal: the interval is about the one that the differences' spread gives; the draws themselves are not SQL."""
+    pairs = _overlaps(spark, sf).withColumn("label", F.col("label").cast("string"))
+    found = bootstrap.grouped_bootstrap(pairs, "iou", "dice", "vec_id", "label", 1000, 5)
+    gaps = pairs.select(F.explode(F.array(F.lit("(all)"), F.col("label"))).alias("group"), (F.col("dice") - F.col("iou")).alias("gap"))
+    spread = gaps.groupBy("group").agg((F.stddev_pop("gap") / F.sqrt(F.count("gap"))).alias("error"))
+    off = lambda end, sign: F.abs(F.col(end) - F.col("delta") - sign * 1.96 * F.col("error"))
+    near = (F.greatest(off("ci_low", -1), off("ci_high", 1)) <= 0.8 * F.col("error") + 1e-12) & (F.col("p_value_one_sided") <= 0.5)
+    return rounded(found.join(spread, "group").select("group", "n", "mean_a", "mean_b", "delta", near.alias("near_normal")), "mean_a", "mean_b", "delta")
 
 
 # ---- difficulty, explanations, extraction ----
@@ -514,6 +515,29 @@ cuts as (select quantile_cont(difficulty_raw, 1/3.0::double) as q33, quantile_co
 diff as (select *, case when difficulty_raw <= q33 then 'easy' when difficulty_raw > q66 then 'hard' else 'medium' end as difficulty_bin from scored, cuts)"""
 
 
+_HAND_LABEL = "case when p_size + 60 * (1 - mask_area_frac) < 45 then 'easy' when p_size + 60 * (1 - mask_area_frac) < 65 then 'medium' else 'hard' end"
+
+
+@query(f"""with recursive {synthetic.MASKS_SQL}, raw_ as (select least(greatest(combined_diff_mean, 0), 1) as s, least(greatest(1 - mask_area_frac, 0), 1) as l, {_complexity_sql('instruction')} as c,
+  case {_HAND_LABEL} when 'easy' then 0 when 'medium' then 1 else 2 end as y
+  from ({synthetic.TRIPLETS_SQL}) t join masks m using (triplet_id) join (select concat('part_', p_partkey) as triplet_id, p_size from part) using (triplet_id)),
+steps as (select unnest(range(11)) as i), grid as (select a.i / 10.0::double as a, b.i / 10.0::double as b, c.i / 10.0::double as c, (10 - a.i - b.i - c.i) / 10.0::double as d from steps a, steps b, steps c where a.i + b.i + c.i <= 10
+  union all select 0.3::double, 0.3::double, 0.2::double, 0.2::double),
+scored as (select a, b, grid.c as c, d, y, round(a * s + b * s + grid.c * l + d * raw_.c, 9) as x from raw_, grid),
+ranked as (select a, b, c, d, rank() over (partition by a, b, c, d order by x) + (count(*) over (partition by a, b, c, d, x) - 1) / 2.0::double as rx,
+  rank() over (partition by a, b, c, d order by y) + (count(*) over (partition by a, b, c, d, y) - 1) / 2.0::double as ry from scored),
+fits as (select a, b, c, d, count(*) as n, corr(rx, ry) as rho from ranked group by 1, 2, 3, 4)
+select (select count(*) from raw_) as n, round(max(rho), 6) as rho, round(max(rho) filter (where a = 0.3::double and b = 0.3::double and c = 0.2::double), 6) as baseline_rho, true as weights_sum_to_one from fits where not isnan(rho)""")
+def calibrated_weights(spark, sf):
+    """One round of the search, over the grid of tenths; labels by hand are stood in for by a rule of part size and mask area."""
+    rows = _difficulty(spark, sf, scores.ScoreConfig(version=1))
+    sizes = table(spark, sf, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("triplet_id"), "p_size")
+    labels = rows.select("triplet_id", "mask_area_frac").join(sizes, "triplet_id").select("triplet_id", F.expr(_HAND_LABEL).alias("label"))
+    found = calibrate.calibrate(rows, labels, rounds=1)
+    whole = abs(sum(found["weights"].values()) - 1) < 1e-9 and min(found["weights"].values()) >= 0
+    return rounded(spark.createDataFrame([(found["n"], found["rho"], found["baseline_rho"], whole)], "n bigint, rho double, baseline_rho double, weights_sum_to_one boolean"), "rho", "baseline_rho")
+
+
 @query(f"with recursive {synthetic.MASKS_SQL}, {_DIFFICULTY_SQL} select triplet_id, round(compactness_score, 9) as compactness_score, round(instruction_complexity, 9) as instruction_complexity, round(difficulty_raw, 9) as difficulty_raw, difficulty_bin from diff")
 def difficulty_pipeline(spark, sf):
     found = _difficulty(spark, sf).select("triplet_id", "compactness_score", "instruction_complexity", "difficulty_raw", "difficulty_bin")

@@ -11,6 +11,45 @@ def test_png_round_trip_and_filters():
         assert (png.decode(png.encode(x)) == x).all()
 
 
+def filtered_png(x, methods):
+    """A PNG whose rows are filtered byte by byte as the format's specification says."""
+    import struct
+    import zlib
+
+    h, w, n = x.shape
+    flat, body = x.reshape(h, w * n).astype(int), bytearray()
+    for y in range(h):
+        body.append(methods[y])
+        for i in range(w * n):
+            a = flat[y, i - n] if i >= n else 0
+            b = flat[y - 1, i] if y else 0
+            c = flat[y - 1, i - n] if y and i >= n else 0
+            nearest = min((abs(a + b - c - v), k, v) for k, v in enumerate((a, b, c)))[2]
+            body.append((flat[y, i] - (0, a, b, (a + b) // 2, nearest)[methods[y]]) % 256)
+    kind = {1: 0, 3: 2, 4: 6}[n]
+    return png._MAGIC + png._chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + png._chunk(b"IDAT", zlib.compress(bytes(body))) + png._chunk(b"IEND", b"")
+
+
+def test_png_row_filters():
+    rng = np.random.default_rng(1)
+    for shape in ((9, 6, 3), (4, 11, 4), (1, 5, 3), (6, 1, 1), (12, 12, 1)):
+        x = rng.integers(0, 256, shape, np.uint8)
+        for methods in (rng.integers(0, 5, shape[0]), np.full(shape[0], 4), np.full(shape[0], 3)):
+            assert (png.decode(filtered_png(x, methods)).reshape(shape) == x).all()
+    with pytest.raises(ValueError, match="filter"):
+        png.decode(filtered_png(x, np.zeros(12, int)).replace(b"IDAT", b"IDAT")[:33] + png._chunk(b"IDAT", __import__("zlib").compress(bytes([9] + [0] * 12) * 12)) + png._chunk(b"IEND", b""))
+
+
+def test_stored_masks_are_white_for_edited():
+    quarter = np.zeros((8, 8, 3), np.uint8)
+    quarter[:4, :4] = 255
+    assert kernels.stored_mask(quarter).mean() == 0.25 and kernels.stored_mask(quarter[..., 0]).mean() == 0.25
+    assert kernels.stored_mask(np.dstack([quarter, np.zeros((8, 8), np.uint8)])).mean() == 0.25
+    assert kernels.provided_mask(quarter).mean() == 0.75  # on ingest, black of a color image is edited
+    gray = np.array([[127, 128]], np.uint8)
+    assert kernels.stored_mask(gray).tolist() == [[False, True]] == kernels.stored_mask(np.repeat(gray[..., None], 3, axis=2)).tolist()
+
+
 def box(h, w, y0, y1, x0, x1):
     m = np.zeros((h, w), bool)
     m[y0:y1, x0:x1] = True

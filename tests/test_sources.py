@@ -28,7 +28,8 @@ def dataset(tmp_path):
 def test_manifest(spark, dataset):
     make = lambda **o: manifest.manifest_triplets(spark, manifest.ManifestConfig(str(dataset / "m.jsonl"), f"file://{dataset}", **o))
     (only,) = make().collect()
-    assert only.triplet_id == "picobanana_99" and json.loads(only.metadata) == {"source_edit_type": "Zoom in", "summarized_text": "s", "line_no": 6}
+    told = {"source_edit_type": "Zoom in", "summarized_text": "s", "open_image_input_url": "http://x/y.png", "manifest_line_no": 6, "source_output_image": "edit/99.png", "source_local_input_image": "real/r1.png"}
+    assert only.triplet_id == "picobanana_99" and json.loads(only.metadata) == told
     assert only.real_path == f"{dataset}/real/r1.png" and only.provided_mask_path is None
     first = make(on_collision="keep_first")
     assert sorted(r.triplet_id for r in first.collect()) == ["picobanana_1", "picobanana_2", "picobanana_99"]
@@ -39,13 +40,53 @@ def test_manifest(spark, dataset):
     assert bad.count() == 1 and lines.count() == 7
 
 
+def test_missing_real_images_are_fetched_to_the_cache(spark, dataset):
+    config = manifest.ManifestConfig(str(dataset / "m.jsonl"), f"file://{dataset}", "keep_first", cache=f"file://{dataset}/cache", download_missing=True)
+    (dataset / "cache").mkdir()
+    image = png.encode(np.zeros((4, 4, 3), np.uint8))
+    found = {r.triplet_id: r.real_path for r in manifest.manifest_triplets(spark, config, lambda url: image).collect()}
+    assert set(found) == {"picobanana_1", "picobanana_2", "picobanana_99", "picobanana_lost"} and found["picobanana_lost"].startswith(f"{dataset}/cache/")
+
+    def fail(url):
+        raise OSError(url)
+
+    for old in (dataset / "cache").iterdir():
+        old.unlink()
+    assert "picobanana_lost" not in {r.triplet_id for r in manifest.manifest_triplets(spark, config, fail).collect()}
+
+
+def test_jpeg_and_png_are_read_as_png(spark, tmp_path):
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(16, 8, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    for x in range(16):
+        for y in range(8):
+            picture.setRGB(x, y, 0xC81E1E if x < 8 else 0x1E1EC8)
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(f"{tmp_path}/a.jpg"))
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "b.png").write_bytes(png.encode(np.full((3, 5, 3), 9, np.uint8)))
+    (tmp_path / "broken.jpeg").write_bytes(b"no image")
+    (tmp_path / "notes.txt").write_text("no image")
+    found = {r.path: png.decode(bytes(r.content)) for r in files.read_images(spark, f"file://{tmp_path}").collect()}
+    assert set(found) == {f"{tmp_path}/a.jpg", f"{tmp_path}/deep/b.png"} and (found[f"{tmp_path}/deep/b.png"] == 9).all()
+    jpeg = found[f"{tmp_path}/a.jpg"].astype(int)
+    assert jpeg.shape == (8, 16, 3) and jpeg[:, :6, 0].mean() > 170 > 60 > jpeg[:, :6, 2].mean() and jpeg[:, 10:, 2].mean() > 170
+
+
+def test_mask_report(spark, tmp_path):
+    rows = [("a", 1.0, 1.0, 0.5, 0.5, "local"), ("b", 0.25, 0.4, 0.1, 0.2, "global"), ("c", None, None, None, None, "global")]
+    compared = spark.createDataFrame(rows, "triplet_id string, iou double, dice double, gt_area_frac double, auto_area_frac double, edit_scope string")
+    found = stages.mask_report(compared, f"file://{tmp_path}/report.json")
+    assert found["all"]["n"] == 2 and found["all"]["mean_iou"] == 0.625 and set(found["by_scope"]) == {"local", "global"} and found["by_scope"]["global"]["bin1"] == 1
+    assert spark.read.parquet(f"file://{tmp_path}/report.per_triplet.parquet").count() == 3 and json.loads((tmp_path / "report.json").read_text()) == found
+
+
 def test_turns(spark):
     image = bytearray(b"x")
     rows = [("7", 1, "add a dog", image, image, None), ("7", 2, "again", image, image, image), ("8", None, "x", image, image, None), ("9", 1, "", image, image, None)]
     turns = spark.createDataFrame(rows, "img_id string, turn_index int, instruction string, source_img binary, target_img binary, mask_img binary")
     got = {r.triplet_id: r for r in manifest.turn_triplets(turns, "dev", "/images").collect()}
     assert set(got) == {"magicbrush_dev_7_t01", "magicbrush_dev_7_t02"}
-    assert json.loads(got["magicbrush_dev_7_t01"].metadata)["source_is_authentic"] and got["magicbrush_dev_7_t02"].provided_mask_path.endswith("_mask.png")
+    assert json.loads(got["magicbrush_dev_7_t01"].metadata)["source_is_authentic"] and got["magicbrush_dev_7_t02"].provided_mask_path == "/images/magicbrush_dev_7_t02__mask.png"
     assert manifest.turn_triplets(turns, "dev", "/images", single_turn_only=True).count() == 1
     with pytest.raises(ValueError):
         manifest.turn_triplets(turns, "test", "/images")
