@@ -201,6 +201,22 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return made.select(F.explode(cells).alias("c")).select("c.a", "c.b", "c.r")
 
 
+def with_scopes(df: DataFrame, scope: str, out: str = "scope", names: tuple[str, ...] = ("global", "local")) -> DataFrame:
+    """Each row for the subset of all rows, ``all``, and for that of its scope, if it is one of ``names``."""
+    own = F.when(F.col(scope).isin(*names), F.array(F.lit("all"), F.col(scope))).otherwise(F.array(F.lit("all")))
+    return df.withColumn(out, F.explode(own))
+
+
+def text_table(rows: DataFrame, most: int = 200, digits: int = 4) -> str:
+    """A small report as lines of text: a heading, and the rows with numbers to the right; at most ``most`` rows."""
+    found = rows.limit(most).collect()
+    shown = [[("" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)) for v in r] for r in found]
+    right = [any(isinstance(r[i], (int, float)) for r in found) for i in range(len(rows.columns))]
+    width = [max(map(len, column)) for column in zip(rows.columns, *shown, strict=True)]
+    line = lambda cells: "  ".join(c.rjust(w) if r else c.ljust(w) for c, w, r in zip(cells, width, right, strict=True)).rstrip()
+    return "\n".join([line(rows.columns), line(["-" * w for w in width]), *map(line, shown)])
+
+
 def weighted_spread(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Mean and standard deviation of the weighted sum, from means and population covariances."""
     names = list(weights)

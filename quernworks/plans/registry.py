@@ -333,7 +333,7 @@ def spearman(spark, sf):
 select case when l_returnflag = 'R' then 'global' else 'local' end, l_quantity from lineitem) s group by 1""")
 def scope_subsets(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", "global").otherwise("local").alias("s"), "l_quantity")
-    named = rows.withColumn("scope", F.explode(F.array(F.lit("all"), "s")))
+    named = stats.with_scopes(rows, "s")
     return named.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"))
 
 

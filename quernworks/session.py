@@ -88,14 +88,16 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def freed(*tables: DataFrame) -> None:
     """Removes the files of tables from ``written`` that nothing reads any more, and shuffles of finished jobs.
 
-    Spark drops a shuffle's files when the driver's JVM collects what refers to it, so it is told to.
+    Spark drops a shuffle's files when the driver's JVM collects what refers to it, so it is told to; what
+    ran last is held until something else has run.
     """
     for df in tables:
         drop_path(df.sparkSession, df._scratch)
         _written[:] = [(spark, path) for spark, path in _written if path != df._scratch]
     gc.collect()
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+    spark = SparkSession.getActiveSession()
+    spark.range(1).collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @atexit.register

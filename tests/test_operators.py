@@ -128,3 +128,10 @@ def test_quantiles_by_ranges_equal_numpy(spark):
     ranked = stats.with_average_rank(df.filter("g = 'hot'"), "x", "r").select("x", "r").distinct().collect()
     xs = np.sort(groups["hot"])
     assert all(r.r == (np.searchsorted(xs, r.x, "left") + np.searchsorted(xs, r.x, "right") + 1) / 2 for r in ranked)
+
+
+def test_reports_as_text(spark):
+    df = spark.createDataFrame([("local", 3, 0.25), ("global", 12, None), ("odd", 1, 1.0)], "s string, n int, x double")
+    assert stats.text_table(df.orderBy("n")).split("\n") == ["s        n       x", "------  --  ------", "odd      1  1.0000", "local    3  0.2500", "global  12"]
+    counted = {r.scope: r["count"] for r in stats.with_scopes(df, "s").groupBy("scope").count().collect()}
+    assert counted == {"all": 3, "local": 1, "global": 1}
