@@ -1,11 +1,15 @@
 """Quality rules: simple statistics of each text, and robust multivariate outliers among them.
 
 The verdict is by minimum covariance determinant: for each language and source, the mean and
-covariance of the three quarters of documents that lie closest to them, found by concentration steps
-from medians and median deviations. Documents far beyond, by Mahalanobis distance, are rejected.
+covariance of those three quarters of its documents whose covariance has the least determinant. They
+are sought from three deterministic starts (medians and median deviations; mean and covariance of all;
+medians and the covariance of directions from them) by concentration steps, each taking the documents
+closest to the last estimate, until the determinant falls no more; the least of the three counts.
+Documents far beyond, by Mahalanobis distance, are rejected.
 
 A concentration step is two aggregations by group, a mergeable quantile summary of distances and the
-sums of first and second moments, so all documents count and no group's rows meet in one task.
+sums of first and second moments, so all documents count and no group's rows meet in one task. The
+groups and starts that are still falling are stepped together.
 """
 
 from __future__ import annotations
@@ -141,27 +145,105 @@ def _floored(cov: np.ndarray) -> np.ndarray:
     return (vectors * np.maximum(values, _LEAST_EIGEN)) @ vectors.T * np.outer(FLOORS, FLOORS)
 
 
-def _estimates(moments: DataFrame, scale: float) -> DataFrame:
-    """gid, mean, inverse covariance, from n, sums s_i and sums of products p_i_j."""
+def _moments(of: list[Column], name: str) -> list[Column]:
+    """Sums of the columns and of their products, as columns name_i and name_i_j."""
+    sums = [F.sum(x).alias(f"{name}_{i}") for i, x in enumerate(of)]
+    return sums + [F.sum(of[i] * of[j]).alias(f"{name}_{i}_{j}") for i in range(_N) for j in range(i, _N)]
+
+
+def _covariance(row: dict, name: str, centred: bool) -> tuple[np.ndarray, np.ndarray]:
+    n = max(row["n"], 1)
+    mean = np.array([row[f"{name}_{i}"] for i in range(_N)]) / n
+    cov = np.zeros((_N, _N))
+    for i in range(_N):
+        for j in range(i, _N):
+            cov[i, j] = cov[j, i] = row[f"{name}_{i}_{j}"] / n - (mean[i] * mean[j] if centred else 0)
+    return mean, cov
+
+
+def _estimate(mean: np.ndarray, cov: np.ndarray) -> tuple[list[float], list[float], float]:
+    """The mean, the inverse of the floored covariance, and the logarithm of its determinant."""
+    cov = _floored(cov)
+    return mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
+
+
+_ESTIMATES = "gid string, start int, mean array<double>, inverse array<double>, log_det double"
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["gid", "start", "mean", "inverse", "log_det"])
+
+
+def _starts(wide: DataFrame) -> DataFrame:
+    """Three estimates of each group. Their determinants are not those of a subset, so they are infinite."""
+    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
+    centre = sized(written(wide.sparkSession, wide.groupBy("gid").agg(*[middle(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)]), "mcd-median"))
+    near = wide.join(centre, "gid")
+    spread = near.groupBy("gid").agg(*[middle(F.abs(F.col(f) - F.col(f"m_{i}"))).alias(f"d_{i}") for i, f in enumerate(FEATURES)])
+    near = near.join(sized(written(wide.sparkSession, spread, "mcd-spread")), "gid")
+    z = [(F.col(f) - F.col(f"m_{i}")) / F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(FLOORS[i])) for i, f in enumerate(FEATURES)]
+    near = near.withColumns({f"z_{i}": x for i, x in enumerate(z)})
+    length = F.sqrt(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, _N)), F.col("z_0") * F.col("z_0")))
+    near = near.withColumn("away", F.greatest(length, F.lit(1e-12)))
+    known = [F.first(f"{c}_{i}").alias(f"{c}_{i}") for c in "md" for i in range(_N)]
+    sums = near.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), *known, *_moments([F.col(f) for f in FEATURES], "x"), *_moments([F.col(f"z_{i}") / F.col("away") for i in range(_N)], "u"))
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            means, inverses = [], []
+            out = []
             for row in frame.to_dict("records"):
-                n = max(row["n"], 1)
-                mean = np.array([row[f"s_{i}"] for i in range(_N)]) / n
-                cov = np.zeros((_N, _N))
-                for i in range(_N):
-                    for j in range(i, _N):
-                        cov[i, j] = cov[j, i] = row[f"p_{i}_{j}"] / n - mean[i] * mean[j]
-                means.append(mean.tolist())
-                inverses.append(np.linalg.inv(_floored(cov * scale)).ravel().tolist())
-            yield pd.DataFrame({"gid": frame["gid"], "mean": means, "inverse": inverses})
+                median = np.array([row[f"m_{i}"] for i in range(_N)])
+                scale = np.maximum([1.4826 * row[f"d_{i}"] for i in range(_N)], FLOORS)
+                turned = _covariance(row, "u", False)[1] * np.outer(scale, scale) * _N
+                for start, (mean, cov) in enumerate([(median, np.diag(scale**2)), _covariance(row, "x", True), (median, turned)]):
+                    out.append((row["gid"], start, *_estimate(mean, cov)[:2], math.inf))
+            yield _frame(out)
+
+    return sums.mapInPandas(solve, _ESTIMATES)
+
 
-    return moments.mapInPandas(solve, "gid string, mean array<double>, inverse array<double>")
+def concentrated(wide: DataFrame, share: float = 0.75, most_steps: int = 20) -> DataFrame:
+    """(gid, mean, inverse): the estimate of least determinant of each group; ``wide`` has gid and FEATURES.
 
+    A step that does not lower the logarithm of the determinant by at least 0.001 (the quantile summary
+    is exact to a thousandth) ends its start, which keeps the lower one; so do ``most_steps`` steps.
+    """
+    spark = wide.sparkSession
+    scale = share / chi_square_below(chi_square_quantile(share, _N), _N + 2)
 
-def robust_distances(rows: DataFrame, least_rows: int = 200, share: float = 0.75, steps: int = 3) -> DataFrame:
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for row in frame.to_dict("records"):
+                mean, cov = _covariance(row, "x", True)
+                made.append((row["gid"], row["start"], *_estimate(mean, cov * scale)))
+            yield _frame(made)
+
+    going, ended = written(spark, _starts(wide), "mcd-start"), []
+    for step in range(most_steps):
+        near = wide.join(sized(going), "gid").withColumn("distance", _distance()).select("gid", "start", "distance", *FEATURES)
+        bound = sized(written(spark, near.groupBy("gid", "start").agg(F.percentile_approx("distance", share, 1000).alias("bound")), f"mcd-bound{step}"))
+        inner = near.join(bound, ["gid", "start"]).filter("distance <= bound")
+        sums = inner.groupBy("gid", "start").agg(F.count(F.lit(1)).alias("n"), *_moments([F.col(f) for f in FEATURES], "x"))
+        old = going.select("gid", "start", F.struct("mean", "inverse", "log_det").alias("old"))
+        new = sums.mapInPandas(solve, _ESTIMATES).join(old, ["gid", "start"])
+        falls = F.col("log_det") < F.col("old.log_det") - 1e-3
+        best = lambda c: F.when(falls, F.col(c)).otherwise(F.col(f"old.{c}")).alias(c)
+        new = written(spark, new.select("gid", "start", best("mean"), best("inverse"), best("log_det"), falls.alias("falls")), f"mcd-step{step}")
+        ended.append(new.filter("not falls").drop("falls"))
+        left = new.filter("falls").drop("falls")
+        left._scratch = new._scratch
+        going = left
+        if going.isEmpty():
+            break
+    ended.append(going)
+    out = ended[0]
+    for e in ended[1:]:
+        out = out.unionByName(e)
+    return written(spark, out.groupBy("gid").agg(F.min_by(F.struct("mean", "inverse"), F.struct("log_det", "start")).alias("best")).select("gid", "best.*"), "mcd-best")
+
+
+def robust_distances(rows: DataFrame, least_rows: int = 200, **options) -> DataFrame:
     """Adds ``distance``, the squared Mahalanobis distance from the row's group; rows have FEATURES, lang, source.
 
     Groups are language and source; those of under ``least_rows`` documents are judged with all of their
@@ -173,25 +255,12 @@ def robust_distances(rows: DataFrame, least_rows: int = 200, share: float = 0.75
     sizes = rows.groupBy("g2", "g1").agg(F.count(F.lit(1)).alias("n2"))
     langs = sizes.groupBy("g1").agg(F.sum("n2").alias("n1"))
     groups = sizes.join(langs, "g1").select("g2", F.when(F.col("n2") >= least_rows, F.concat(F.lit("2"), F.col("g2"))).when(F.col("n1") >= least_rows, F.concat(F.lit("1"), F.col("g1"))).otherwise(F.lit("0")).alias("gid"))
-    named = rows.join(sized(written(spark, groups, "mcd-groups")), "g2").drop("g2", "g1")
+    groups = written(spark, groups, "mcd-groups")
+    named = rows.join(sized(groups), "g2").drop("g2", "g1")
     # a small group is judged with all of its language, so the larger group's estimates use all its rows
     wide = rows.select("g1", "g2", *FEATURES).withColumn("gid", F.explode(F.array(F.concat(F.lit("2"), F.col("g2")), F.concat(F.lit("1"), F.col("g1")), F.lit("0")))).drop("g1", "g2")
     used = sized(written(spark, groups.select("gid").distinct(), "mcd-used"))
-    wide = wide.join(used, "gid")
-    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
-    centre = sized(written(spark, wide.groupBy("gid").agg(*[middle(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)]), "mcd-median"))
-    spread = wide.join(centre, "gid").groupBy("gid").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(_N)], *[middle(F.abs(F.col(f) - F.col(f"m_{i}"))).alias(f"d_{i}") for i, f in enumerate(FEATURES)])
-    zero = F.lit(0.0)
-    inverse = [1 / F.pow(F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(FLOORS[i])), 2) if i == j else zero for i in range(_N) for j in range(_N)]
-    found = written(spark, spread.select("gid", F.array(*[F.col(f"m_{i}") for i in range(_N)]).alias("mean"), F.array(*inverse).alias("inverse")), "mcd-start")
-    scale = share / chi_square_below(chi_square_quantile(share, _N), _N + 2)
-    for step in range(steps):
-        near = wide.join(sized(found), "gid").withColumn("distance", _distance())
-        bound = sized(written(spark, near.groupBy("gid").agg(F.percentile_approx("distance", share, 1000).alias("bound")), f"mcd-bound{step}"))
-        inner = near.join(bound, "gid").filter("distance <= bound")
-        sums = [F.sum(f).alias(f"s_{i}") for i, f in enumerate(FEATURES)]
-        products = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p_{i}_{j}") for i in range(_N) for j in range(i, _N)]
-        found = written(spark, _estimates(inner.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), *sums, *products), scale), f"mcd-step{step}")
+    found = concentrated(wide.join(used, "gid"), **options)
     return named.join(sized(found), "gid").withColumn("distance", _distance()).drop("mean", "inverse", "gid")
 
 
@@ -213,8 +282,8 @@ def judge(docs: DataFrame, least_words: int = 20, most_repeats: int = 30, tail:
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that ``judge`` rejects."""
-    out = judge(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+    """``docs`` without the documents that ``judge`` rejects, whatever the names of its other columns."""
+    out = judge(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__q_id"), F.col("tie").alias("__q_tie")).distinct()
     out = sized(written(docs.sparkSession, out, "quality-rejected"))
-    rows = docs.withColumn("_at", F.xxhash64("text"))
-    return rows.join(out, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_tie")), "left_anti").drop("_at")
+    rows = docs.withColumn("__q_at", F.xxhash64("text"))
+    return rows.join(out, F.col("doc_id").eqNullSafe(F.col("__q_id")) & (F.col("__q_at") == F.col("__q_tie")), "left_anti").drop("__q_at")
