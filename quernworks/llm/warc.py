@@ -1,8 +1,10 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Pages are range-sorted by id; each task writes its range as gzip members, one a record, and begins a
-new file when the next record would take the file over a stated compressed size. Headers and digests
-are made anew from the pages, with a date that is a parameter, so equal input gives equal bytes. A
+Pages are range-sorted by id, then payload and address: each shard is a range, written as gzip members,
+one a record, and a new file begins when the next record would take the file over a stated compressed
+size. How many shards there are comes from the pages' size, and where they begin from a sample that is
+taken by hash, so both depend on the pages alone, not on how they are dealt. Headers and digests are
+made anew from the pages, with a date that is a parameter, so equal input gives equal bytes. A
 file is written under a temporary name and renamed when it is whole; the manifest, one JSON line a
 file, is committed by Spark and names only files of tasks that succeeded. A task that is run again
 replaces its files by equal ones.
@@ -19,6 +21,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +32,7 @@ from ..session import scratch_path, sized, written
 
 _MANIFEST = "file string, bytes bigint, records bigint, first_id bigint, last_id bigint, sha256 string"
 _RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string, offset bigint"
-_READ = 1 << 20
+_READ, _STEP = 1 << 20, 1 << 14
 
 
 def _store(uri: str):
@@ -79,23 +83,50 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     base = base.withColumn("digest", F.sha1("html"))
     same = base.filter(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("refers"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
     same = sized(written(pages.sparkSession, same, "warc-same"))
-    return base.join(same, "digest", "left").select("page_id", "url", "html", "refers")
+    return base.join(same, "digest", "left").select("page_id", "url", "html", "refers", "digest")
 
 
-def write_archives(pages: DataFrame, folder: str, most_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0) -> None:
+#: Shards at most, and sampled rows a shard, about: both bound what comes to the driver.
+_MOST_SHARDS, _SAMPLED = 1 << 15, 32
+_NULL = -(1 << 63)
+
+
+def _sharded(rows: DataFrame, shard_bytes: int) -> DataFrame:
+    """Adds ``tie``, which orders rows of one id, and ``shard``, the range of (id, tie) that a row is in."""
+    rows = rows.withColumns({"tie": F.xxhash64("digest", "url"), "id": F.coalesce("page_id", F.lit(_NULL))})
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    shards = max(1, min(_MOST_SHARDS, -(-size // shard_bytes)))
+    one_in = max(1, n // (shards * _SAMPLED))
+    some = sorted((r.id, r.tie) for r in rows.filter(F.pmod(F.xxhash64("id", "tie"), F.lit(one_in)) == 0).select("id", "tie").distinct().collect()) if shards > 1 else []
+    bounds = sorted({some[len(some) * i // shards] for i in range(1, shards)}) if some else []
+    ids, ties = (np.array([b[i] for b in bounds], np.int64) for i in (0, 1))
+
+    @F.pandas_udf("int")
+    def shard(id_: pd.Series, tie: pd.Series) -> pd.Series:
+        a, b = id_.to_numpy(), tie.to_numpy()
+        lo, hi = np.searchsorted(ids, a, "left"), np.searchsorted(ids, a, "right")
+        for i in np.flatnonzero(lo < hi):
+            lo[i] += np.searchsorted(ties[lo[i] : hi[i]], b[i], "right")
+        return pd.Series(lo.astype(np.int32))
+
+    return rows.withColumn("shard", shard("id", "tie")).repartition(shards, "shard").sortWithinPartitions("shard", "id", "tie").drop("id", "tie", "digest")
+
+
+def write_archives(pages: DataFrame, folder: str, most_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, shard_bytes: int = 16 << 20) -> None:
     """Writes all pages below ``folder`` and the manifest in ``folder``/manifest.
 
+    A shard has about ``shard_bytes`` bytes of payload, or more where 32768 shards do not suffice.
+
     Of rows with equal payloads of at least ``least_bytes`` bytes, those of the largest id are
     responses and the others revisits of it. Null payloads are empty; null urls get a URN; null ids
-    come first and have no id header; repeated rows are records of their own; an empty table gives an
-    empty manifest.
+    come first and have no id header; repeated rows are records of their own, side by side; an empty
+    table gives an empty manifest.
     """
-    rows = with_revisits(pages, least_bytes).repartitionByRange("page_id").sortWithinPartitions("page_id", "url")
+    rows = _sharded(with_revisits(pages, least_bytes), shard_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
-        task = TaskContext.get()
-        part, attempt, made = task.partitionId(), task.taskAttemptId(), 0
+        attempt, made, part = TaskContext.get().taskAttemptId(), 0, -1
         out, done, files = None, {}, []
 
         def close() -> None:
@@ -111,10 +142,12 @@ def write_archives(pages: DataFrame, folder: str, most_bytes: int = 64 << 20, da
         store.create_dir(f"{root}/_temporary", recursive=True)
         for batch in batches:
             for i in range(batch.num_rows):
-                page, url, html, refers = (batch.column(c)[i].as_py() for c in ("page_id", "url", "html", "refers"))
+                page, url, html, refers, shard = (batch.column(c)[i].as_py() for c in ("page_id", "url", "html", "refers", "shard"))
                 data = _member(record(page, url, html.encode(), refers, refers is not None and refers != page, date))
-                if out is not None and done["bytes"] + len(data) > most_bytes:
+                if out is not None and (shard != part or done["bytes"] + len(data) > most_bytes):
                     close()
+                if shard != part:
+                    part, made = shard, 0
                 if out is None:
                     done = {"file": f"part-{part:05d}-{made:05d}.warc.gz", "bytes": 0, "records": 0, "first": page, "sha": hashlib.sha256()}
                     out = store.open_output_stream(f"{root}/_temporary/{attempt}-{done['file']}", compression=None)
@@ -141,14 +174,16 @@ def members(blocks: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
     """The offset and content of each gzip member of a stream."""
     inflate, at, start, parts = zlib.decompressobj(31), 0, 0, []
     for block in blocks:
-        while block:
-            parts.append(inflate.decompress(block))
-            at += len(block) - len(inflate.unused_data)
-            block = inflate.unused_data
-            if not inflate.eof:
-                break
-            yield start, b"".join(parts)
-            inflate, start, parts = zlib.decompressobj(31), at, []
+        for lo in range(0, len(block), _STEP):  # what follows a member is copied, so only a little is given at once
+            piece = block[lo : lo + _STEP]
+            while piece:
+                parts.append(inflate.decompress(piece))
+                at += len(piece) - len(inflate.unused_data)
+                piece = inflate.unused_data
+                if not inflate.eof:
+                    break
+                yield start, b"".join(parts)
+                inflate, start, parts = zlib.decompressobj(31), at, []
     if parts and any(parts):
         raise ValueError("a record is cut off")
 
@@ -167,7 +202,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """One row per page record of the files in the manifest; each file's digest and each block's is checked."""
-    files = spark.read.schema(_MANIFEST).json(f"{folder}/manifest").select("file", "sha256").repartition("file")
+    files = spark.read.schema(_MANIFEST).json(f"{folder}/manifest").select("file", "sha256")
+    files = files.repartition(max(1, files.count()), "file")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
