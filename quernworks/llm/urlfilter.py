@@ -66,7 +66,6 @@ class GlobAutomaton:
         self.fits = np.array([self._mask(j for j, (b, _) in enumerate(bits) if b == c or b == "**" or b == "*" and c != SEPARATOR) for c in [*literal, -1]])
         self.stays = np.array([self._mask(j for j, (b, _) in enumerate(bits) if b == "**" or b == "*" and c != SEPARATOR) for c in [*literal, -1]])
         self.empty = self._mask(j for j, (b, _) in enumerate(bits) if isinstance(b, str))
-        self.ends = np.array([self._mask([j]) for j in self.final]) if self.rules else np.zeros((0, self.words), np.uint64)
 
     def _mask(self, at: Iterable[int]) -> np.ndarray:
         out = [0] * self.words
@@ -88,8 +87,8 @@ class GlobAutomaton:
             out[:, 1:] |= state[:, :-1] >> np.uint64(63)
         return out & ~self.begin  # no rule runs on into the next
 
-    def matches(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Whether each rule fits the whole of each row of symbols (rows x rules)."""
+    def states(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The masks (rows x words) after the whole of each row of symbols."""
         known = np.searchsorted(self.alphabet, symbols)
         known[known == len(self.alphabet)] = 0
         index = np.where(self.alphabet[known] == symbols, known, len(self.alphabet)) if len(self.alphabet) else np.zeros_like(symbols)
@@ -104,7 +103,12 @@ class GlobAutomaton:
             step = (self._shift(state) | begun) & self.fits[column] | state & self.stays[column]
             state = self._skip(step, none)
             out[live] = state[live]
-        return (out[:, None, :] & self.ends[None, :, :]).any(axis=2)
+        return out
+
+    def fitting(self, states: np.ndarray, rule: int) -> np.ndarray:
+        """Whether a rule fits, by its last bit."""
+        word, bit = divmod(self.final[rule], 64)
+        return (states[:, word] >> np.uint64(bit)) & np.uint64(1) == 1
 
 
 def canonical_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -135,21 +139,25 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            rows = [[ord("."), *map(ord, h), SEPARATOR, *map(ord, p)] for h, p in zip(hosts, paths, strict=True)]
-            lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+            codes = np.frombuffer("".join(f".{h}/{p}" for h, p in zip(hosts, paths, strict=True)).encode("utf-32-le"), np.uint32).astype(np.int64)
+            n_host = np.fromiter(map(len, hosts), np.int64, len(hosts))
+            lengths = n_host + np.fromiter(map(len, paths), np.int64, len(paths)) + 2
+            starts = np.cumsum(lengths) - lengths
+            codes[starts + n_host + 1] = SEPARATOR
             by_length = np.argsort(lengths, kind="stable")
-            first = np.full(len(rows), len(order))
+            first = np.full(len(lengths), len(order))
             lo = 0
-            while lo < len(rows):
+            while lo < len(lengths):
                 hi = lo + 1
-                while hi < len(rows) and (hi - lo + 1) * lengths[by_length[hi]] <= _STEP_CELLS:
+                while hi < len(lengths) and (hi - lo + 1) * lengths[by_length[hi]] <= _STEP_CELLS:
                     hi += 1
                 some = by_length[lo:hi]
                 symbols = np.full((len(some), int(lengths[some[-1]])), -2, np.int64)
                 for k, i in enumerate(some):
-                    symbols[k, : lengths[i]] = rows[i]
-                fit = automaton.matches(symbols, lengths[some])[:, order]
-                first[some] = np.where(fit.any(axis=1), fit.argmax(axis=1) if len(order) else 0, len(order))
+                    symbols[k, : lengths[i]] = codes[starts[i] : starts[i] + lengths[i]]
+                states = automaton.states(symbols, lengths[some])
+                for rank in reversed(range(len(order))):
+                    first[some[automaton.fitting(states, order[rank])]] = rank
                 lo = hi
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts[first], pa.string()), pa.array(verdicts[first], pa.string())], names=[*batch.schema.names, "rule", "verdict"])
 
