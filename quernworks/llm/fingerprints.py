@@ -8,6 +8,8 @@ distinct shingles. Sketches shorter than k hold all hashes, and their estimates
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,46 +98,63 @@ def as_text(sketch: Column) -> Column:
     return F.lower(F.array_join(F.transform(sketch, lambda h: F.hex(h)), ","))
 
 
-def id_buckets(docs: DataFrame, key: str, rows_per_bucket: int, most: int) -> list[int]:
-    """Ids that begin ranges of about ``rows_per_bucket`` rows, ascending; the first is the least id.
+def _listed(pairs: list[tuple[int, int]], step: int) -> Column:
+    """Pairs of key and tie as one constant: lists of ``step`` each."""
+    lists = [[{"k": k, "t": t} for k, t in pairs[i : i + step]] for i in range(0, len(pairs), step)]
+    return F.from_json(F.lit(json.dumps(lists)), "array<array<struct<k:bigint,t:bigint>>>")
 
-    Read from the key column alone, as a mergeable quantile summary; at most ``most`` numbers come to
-    the driver, and ranges grow beyond that.
-    """
-    found = docs.agg(F.count(key), F.min(key), F.percentile_approx(key, [i / most for i in range(1, most)], 20 * most)).first()
-    rows, least, cuts = found
-    if not rows:
-        return []
-    want = min(most, max(1, ceil(rows / rows_per_bucket)))
-    return sorted({least, *(cuts[round(i * most / want) - 1] for i in range(1, want))})
 
-
-def bucket_of(key: Column, starts: list[int]) -> Column:
-    """The index of the range that holds key: a search in two steps over the ascending starts."""
+def range_of(key: Column, tie: Column, starts: list[tuple[int, int]]) -> Column:
+    """The index of the range that holds (key, tie), by its start: a search in two steps over ascending starts; -1 before all."""
     step = max(1, ceil(sqrt(len(starts))))
-    parts = [starts[i : i + step] for i in range(0, len(starts), step)]
-    below = lambda cuts: F.size(F.filter(cuts, lambda c: c <= key)) - 1
-    part = below(F.array(*[F.lit(p[0]) for p in parts]))
-    inner = F.get(F.array(*[F.array(*map(F.lit, p)) for p in parts]), part)
-    return (part * step + below(inner)).cast("int")
+    here = F.struct(key.alias("k"), tie.alias("t"))
+    below = lambda cuts, of: F.size(F.filter(cuts, lambda c: of(c) <= here)) - 1
+    lists = _listed(starts, step)
+    part = F.greatest(below(lists, lambda c: F.get(c, F.lit(0))), F.lit(0))
+    return (part * step + below(F.get(lists, part), lambda c: c)).cast("int")
+
 
+def range_starts(rows: DataFrame, rows_per_range: int, most: int) -> list[tuple[int, int]]:
+    """The first (key, tie) of each of about as many ranges as the rows need, at most ``most``, ascending.
 
-def fingerprint_edits(docs: DataFrame, k: int = K, rows_per_bucket: int = 2048, most_buckets: int = 1024) -> DataFrame:
+    Cuts between keys come from a mergeable quantile summary. A key that fills several ranges is cut by
+    its ties, which are hashes. Then the first row of each range is looked up, so a start is always a row.
+    """
+    n, least = rows.agg(F.count(F.lit(1)), F.min("key")).first()
+    if not n:
+        return []
+    want = min(most, max(1, ceil(n / rows_per_range)))
+    cuts = [least]
+    if want > 1:
+        cuts += rows.agg(F.percentile_approx("key", [i / want for i in range(1, want)], 20 * want)).first()[0]
+    times = Counter(cuts)
+    tie = lambda i, of: -(1 << 63) + (1 << 64) * i // of
+    pairs = sorted((k, tie(i, m)) for k, m in times.items() for i in range(m))
+    firsts = rows.groupBy(range_of(F.col("key"), F.col("tie"), pairs).alias("range")).agg(F.min(F.struct("key", "tie")).alias("first"))
+    return sorted((r.first.key, r.first.tie) for r in firsts.select("first").collect())
+
+
+def fingerprint_edits(docs: DataFrame, k: int = K, rows_per_range: int = 2048, most_ranges: int = 1 << 16) -> DataFrame:
     """Fingerprints each document and its edited text, and compares it with that and the next document.
 
     The edited text has the last quarter replaced by the first as many code points of the next
     document by ascending doc_id, after the last the first. Documents go once to ranges of doc_id;
     the first document of each range also goes, as a guard row, to the end of the range before.
-    Null texts are empty, null ids come last, equal ids are ordered by the hash of their text; an
-    empty table gives no rows. Other columns are not used.
+    Null texts are empty, null ids come last, equal ids are ordered by the hash of their text, and
+    split by it where they are many; an empty table gives no rows. Other columns are not used. At most
+    ``most_ranges`` ranges are made, and their starts come to the driver; ranges grow beyond that.
     """
     base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    starts = id_buckets(base.select("key"), "key", rows_per_bucket, most_buckets) or [0]
-    at = base.withColumn("bucket", bucket_of(F.col("key"), starts))
+    base = base.withColumn("tie", F.xxhash64("text"))
+    starts = range_starts(base.select("key", "tie"), rows_per_range, most_ranges) or [(0, 0)]
+    at = base.withColumn("bucket", range_of(F.col("key"), F.col("tie"), starts))
     own = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guard"))
     before = F.struct(F.pmod(F.col("bucket") - 1, F.lit(len(starts))).alias("b"), F.lit(True).alias("guard"))
-    at = at.withColumn("to", F.explode(F.when(F.get(F.array(*map(F.lit, starts)), F.col("bucket")) == F.col("key"), F.array(own, before)).otherwise(F.array(own))))
-    at = at.select("key", "text", F.col("to.b").alias("bucket"), F.col("to.guard").alias("guard"), F.xxhash64("text").alias("tie"))
+    step = max(1, ceil(sqrt(len(starts))))
+    start = F.get(F.get(_listed(starts, step), F.expr(f"bucket div {step}").cast("int")), F.col("bucket") % step)
+    is_start = start == F.struct(F.col("key").alias("k"), F.col("tie").alias("t"))
+    at = at.withColumn("to", F.explode(F.when(is_start, F.array(own, before)).otherwise(F.array(own))))
+    at = at.select("key", "text", F.col("to.b").alias("bucket"), F.col("to.guard").alias("guard"), "tie")
     order = Window.partitionBy("bucket").orderBy("guard", "key", "tie")
     near = at.withColumn("next_text", F.lead("text").over(order)).withColumn("n_chars", F.length("text").cast("bigint"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
