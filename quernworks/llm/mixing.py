@@ -7,7 +7,8 @@ source takes its block r, beginning again after the last, until the source's tar
 that the finite schedule falls short of a target (its discrepancy, some log of its length) come last.
 
 All ranks and positions are sums over bounded pieces: of at most 65,536 slots, and of hash ranges of
-a source of about 512 documents. So a source that holds most rows is spread like the rest.
+a source of about 512 documents; sums of pieces are added up 4096 at a time. So a source that holds
+most rows is spread like the rest.
 """
 
 from __future__ import annotations
@@ -39,6 +40,15 @@ def _before(window: Window) -> Window:
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _offsets(sums: DataFrame, at: str, value: str) -> DataFrame:
+    """Adds ``offset``: the sum of ``value`` over the source's rows with a lesser ``at``; 4096 of them are summed up in one place, then their sums."""
+    rows = sums.withColumn("high", F.shiftright(at, 12))
+    before = lambda c, by, order: F.coalesce(F.sum(c).over(_before(Window.partitionBy(*by).orderBy(order))), F.lit(0))
+    tops = rows.groupBy("sid", "high").agg(F.sum(value).alias("all")).withColumn("base", before("all", ["sid"], "high")).drop("all")
+    rows = rows.withColumn("inner", before(value, ["sid", "high"], at)).join(tops, ["sid", "high"])
+    return rows.withColumn("offset", F.col("base") + F.col("inner")).drop("high", "base", "inner")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling: float = 3.0) -> DataFrame:
     """One row per source: sid (its rank by code point, null last), source_size, weight, target.
 
@@ -85,7 +95,7 @@ def _slots(sources: DataFrame, block_words: int) -> DataFrame:
     hits = hits.select("sid", "slot", F.expr(f"slot div {_SLOTS_A_CHUNK}").alias("chunk"))
     counts = hits.groupBy("sid", "chunk").count()
     counts = written(spark, counts, "mix-counts")
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("count").over(_before(Window.partitionBy("sid").orderBy("chunk"))), F.lit(0)))
+    offsets = _offsets(counts, "chunk", "count")
     inner = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     ranked = hits.withColumn("inner", inner).join(offsets.drop("count"), ["sid", "chunk"]).select("sid", "slot", (F.col("offset") + F.col("inner")).alias("rank"))
     got = plan.join(counts.groupBy("sid").agg(F.sum("count").alias("got")), "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
@@ -115,7 +125,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block_words: in
     placed = placed.select("doc_id", "tie", "d.source", "size", "source_size", "target", "sid", "at", F.shiftrightunsigned("at", 64 - bits).alias("bucket") if bits else F.lit(0).cast("bigint").alias("bucket"))
     full = placed.filter("size > 0")
     sums = full.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-    sums = sums.withColumn("offset", F.coalesce(F.sum("words").over(_before(Window.partitionBy("sid").orderBy("bucket"))), F.lit(0))).drop("words")
+    sums = _offsets(written(spark, sums, "mix-buckets"), "bucket", "words").drop("words")
     inner = F.coalesce(F.sum("size").over(_before(Window.partitionBy("sid", "bucket").orderBy("at", "doc_id", "tie"))), F.lit(0))
     laid = full.withColumn("inner", inner).join(sums, ["sid", "bucket"]).withColumn("a", F.col("offset") + F.col("inner")).drop("inner", "offset", "bucket", "at")
     blocks = laid.withColumn("block", F.explode(F.expr(f"sequence(a div {block_words}, (a + size - 1) div {block_words})")))
@@ -134,23 +144,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block_words: in
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each row as often as it is taken whole, then its first words taken once more.
+    """The mix as documents: each as often as it is taken whole, then its first words taken once more.
 
-    Columns as in ``docs``; the last row of a document may be a beginning of its text, with n_chars to
-    match where there is that column. Rows of which nothing is taken go.
+    Columns as in ``docs``, whatever their names; the last row of a document may be a beginning of its
+    text, with n_chars to match where there is that column. Rows of which nothing is taken go, so those
+    of null or empty texts do. Rows of equal id and text count as one document of all their words, with
+    the other columns of one of them; a null id or source is a value; an empty table gives no rows.
     """
-    found = mix(docs, **options).groupBy("doc_id", "tie").agg(F.expr("sum(taken) div count(1)").alias("_taken"), F.first("size").alias("_size")).filter("_taken > 0")
-    found = written(docs.sparkSession, found.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"}), "mix-taken")
-    rows = docs.withColumn("_at", F.xxhash64("text"))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_tie"))).drop("_id", "_tie", "_at")
-    rows = rows.withColumn("_copy", F.explode(F.expr("sequence(0, (_taken - 1) div _size)")))
-    rows = rows.withColumn("_words", F.least(F.col("_taken") - F.col("_copy") * F.col("_size"), F.col("_size"))).drop("_taken", "_copy")
+    found = mix(docs, **options).groupBy("doc_id", "tie").agg(F.sum("taken").alias("__q_taken"), F.first("size").alias("__q_size"), F.count(F.lit(1)).alias("__q_many")).filter("__q_taken > 0")
+    found = written(docs.sparkSession, found.withColumnsRenamed({"doc_id": "__q_id", "tie": "__q_tie"}), "mix-taken")
+    rows = docs.withColumn("__q_at", F.xxhash64("text"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__q_id")) & (F.col("__q_at") == F.col("__q_tie"))).drop("__q_id")
+    extra = ["__q_taken", "__q_size"]
+    one = F.max_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__q_row")
+    repeated = rows.filter("__q_many > 1").groupBy("doc_id", "__q_tie").agg(one, *[F.first(c).alias(c) for c in extra]).select("__q_row.*", *extra)
+    rows = rows.filter("__q_many = 1").select(*docs.columns, *extra).unionByName(repeated)
+    rows = rows.withColumn("__q_copy", F.explode(F.expr("sequence(0, (__q_taken - 1) div __q_size)")))
+    rows = rows.withColumn("__q_words", F.least(F.col("__q_taken") - F.col("__q_copy") * F.col("__q_size"), F.col("__q_size"))).drop("__q_taken", "__q_copy")
     schema = docs.schema
     counted = "n_chars" in schema.fieldNames()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, words = batch.column("_size").to_numpy(), batch.column("_words").to_numpy()
+            size, words = batch.column("__q_size").to_numpy(), batch.column("__q_words").to_numpy()
             columns = {n: batch.column(n) for n in schema.fieldNames()}
             short = np.flatnonzero(words < size)
             if len(short):
