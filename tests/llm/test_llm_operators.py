@@ -339,6 +339,24 @@ def test_warc(spark, sf, tmp_path):
         warc.read_archives(spark, f"file://{tmp_path}/a").collect()
 
 
+def test_warc_bytes_do_not_depend_on_how_rows_are_dealt(spark, tmp_path):
+    """Rows of one id and one address, repeated rows, null ids, in several shards and files."""
+    rng = np.random.default_rng(9)
+    rows = [(1, "http://a/", f"page {i} " + "x" * int(rng.integers(0, 900))) for i in range(60)] + [(i, f"http://b/{i}", "y" * i) for i in range(200)]
+    rows += [(None, None, f"null {i}") for i in range(40)] + [(7, "http://c/", "again")] * 5
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = []
+    for name, dealt in (("a", df.coalesce(1)), ("b", df.repartition(5, "html")), ("c", df.orderBy(F.desc("html")))):
+        folder = f"file://{tmp_path}/{name}"
+        warc.write_archives(dealt, folder, most_bytes=3000, shard_bytes=8000)
+        found.append([(f.file, f.records, f.sha256) for f in spark.read.json(f"{folder}/manifest").orderBy("file").collect()])
+    assert found[0] == found[1] == found[2] and len({f[0][:10] for f in found[0]}) > 3 and sum(f[1] for f in found[0]) == len(rows)
+    back = warc.read_archives(spark, folder)
+    assert back.rdd.getNumPartitions() > 3
+    ids = [r.page_id for r in back.orderBy("file", "offset").collect()]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x))
+
+
 def near_rows():
     """Chains of near copies, groups at the limit, and documents that share only a passage."""
     rng = np.random.default_rng(3)
@@ -436,6 +454,58 @@ def test_quality(small, spark, tricky, empty):
     assert quality.judge(empty).count() == 0 and quality.kept_documents(tricky).columns == tricky.columns
 
 
+def brute_mcd(x, share=0.75):
+    """Squared distances of rows of features from the estimate of least determinant that steps from three starts reach."""
+    n, k = x.shape
+    floors = np.array(quality.FLOORS)
+    scale = share / quality.chi_square_below(quality.chi_square_quantile(share, k), k + 2)
+    at = lambda v, p: np.sort(v)[math.ceil(p * len(v)) - 1]
+
+    def floored(cov):
+        unit = cov / np.outer(floors, floors)
+        unit = unit + np.diag(np.maximum(1 - np.diag(unit), 0))
+        values, vectors = np.linalg.eigh(unit)
+        return vectors @ np.diag(np.maximum(values, 0.05)) @ vectors.T * np.outer(floors, floors)
+
+    def away(mean, cov):
+        gap = x - mean
+        return (gap @ np.linalg.inv(floored(cov)) * gap).sum(axis=1)
+
+    median = np.array([at(c, 0.5) for c in x.T])
+    spread = np.maximum([1.4826 * at(abs(c - m), 0.5) for c, m in zip(x.T, median, strict=True)], floors)
+    z = (x - median) / spread
+    u = z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
+    best = (math.inf, None)
+    for mean, cov in ((median, np.diag(spread**2)), (x.mean(axis=0), np.cov(x.T, bias=True)), (median, u.T @ u / n * np.outer(spread, spread) * k)):
+        det = math.inf
+        while True:
+            d = away(mean, cov)
+            inner = x[d <= at(d, share)]
+            new = inner.mean(axis=0), np.cov(inner.T, bias=True) * scale
+            new_det = np.linalg.slogdet(floored(new[1]))[1]
+            if new_det >= det - 1e-3:
+                break
+            (mean, cov), det = new, new_det
+        if det < best[0]:
+            best = det, away(mean, cov)
+    return best[1]
+
+
+def test_quality_distances_equal_a_plain_mcd(spark, small):
+    rows = [(d, t, "en", "s") for d, t in small]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    features = []
+    for _, t, _, _ in rows:
+        n, chars, symbols, dup, repeat = brute.quality(t)
+        lines = t.count("\n") + 1
+        features.append([math.log1p(n), math.log((chars + 1) / max(n, 1)), math.sqrt(symbols / max(chars, 1)), math.sqrt(dup / lines), math.sqrt(repeat / max(n, 1))])
+    want = brute_mcd(np.array(features))
+    limit = quality.chi_square_quantile(1 - 1e-4, 5)
+    for (d, *_), x in zip(rows, want, strict=True):
+        assert found[d].distance == pytest.approx(x, rel=1e-6) and found[d].kept == (not found[d].base_failed and x <= limit)
+    assert 0 < sum(x > limit for x in want) < len(want) / 2
+
+
 def test_quality_finds_planted_outliers(spark):
     rng = np.random.default_rng(1)
     rows = []
@@ -470,8 +540,8 @@ def test_quality_rejects_planted_lines_and_symbols_of_clean_groups(spark):
 def test_fingerprints(small, spark, tricky, empty):
     rows = [(d, t or "") for d, t in small]
     df = spark.createDataFrame(small, "doc_id bigint, text string")
-    for buckets in (2048, 16):
-        found = {r.doc_id: r for r in fingerprints.fingerprint_edits(df, rows_per_bucket=buckets).collect()}
+    for size in (2048, 16):
+        found = {r.doc_id: r for r in fingerprints.fingerprint_edits(df, rows_per_range=size).collect()}
         order = sorted(rows)
         for i, (d, t) in enumerate(order):
             after, q = order[(i + 1) % len(order)], len(t) // 4
@@ -488,7 +558,22 @@ def test_fingerprints(small, spark, tricky, empty):
         for d, t in rows:
             by_text[t].add(found[d].fingerprint)
         assert all(len(x) == 1 for x in by_text.values())
-    assert fingerprints.fingerprint_edits(tricky).count() == len(TRICKY) and fingerprints.fingerprint_edits(empty).count() == 0
+    assert fingerprints.fingerprint_edits(empty).count() == 0
+
+
+def test_fingerprints_of_odd_rows_and_hot_ids(spark, tricky):
+    """Null, equal and repeated ids, which fill several ranges."""
+    hot = [(None if i % 2 else 50, f"text {i} of a hot id " * (i % 4)) for i in range(300)] + [(i, f"plain {i}") for i in range(-20, 40)]
+    for df in (tricky, spark.createDataFrame(hot, "doc_id bigint, text string"), tricky.filter("doc_id = 11")):
+        ties = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("tie")).collect()
+        order = [(r.doc_id, r.text) for r in sorted(ties, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.tie))]
+        want = Counter()
+        for i, (d, t) in enumerate(order):
+            after, q = order[(i + 1) % len(order)][1], len(t) // 4
+            want[d, len(t), hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()] += 1
+        for size in (2048, 16, 3):
+            found = fingerprints.fingerprint_edits(df, rows_per_range=size).select("doc_id", "n_chars", "edited_sha256").collect()
+            assert Counter(map(tuple, found)) == want
 
 
 def brute_sets(text):
