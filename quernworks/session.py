@@ -95,9 +95,9 @@ def freed(*tables: DataFrame) -> None:
         drop_path(df.sparkSession, df._scratch)
         _written[:] = [(spark, path) for spark, path in _written if path != df._scratch]
     gc.collect()
-    spark = SparkSession.getActiveSession()
-    spark.range(1).collect()
-    spark.sparkContext._jvm.System.gc()
+    if (spark := SparkSession.getActiveSession()) is not None:
+        spark.range(1).collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 @atexit.register
