@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from .textops import chunks, mix, text_buffer
 
 #: Codes that a task counts before it hands counts on; codes that a bucket has on average.
-_TALLY, _BUCKET = 4 << 20, 1 << 21
+_TALLY, _BUCKET = 9 << 18, 1 << 21
 
 
 def buckets_for(expected: int) -> int:
     """log2 of the buckets for so many codes."""
-    return min(16, max(10, (expected // _BUCKET).bit_length()))
+    return min(16, max(9, (expected // _BUCKET).bit_length()))
 
 
 def cut(codes: np.ndarray, log_buckets: int) -> np.ndarray:
