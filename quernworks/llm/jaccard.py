@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import sized, written
+from ..session import freed, sized, written
 from .bloom import Filter, filter_of, size_for
 from .components import component_labels
 from .tally import buckets_for, counted, cut
@@ -174,7 +174,9 @@ def token_order(texts: DataFrame, n_tokens: int, frequent: int = FREQUENT, most:
     head = head.select("code", level.alias("level")).toArrow().combine_chunks()
     codes, levels = head.column("code").to_numpy().view(np.uint64), head.column("level").to_numpy().astype(np.int64)
     at = np.argsort(codes)
-    return Order(log_buckets, filter_of(counts, "code", size_for(counts.count(), 8)), codes[at], levels[at])
+    order = Order(log_buckets, filter_of(counts, "code", size_for(counts.count(), 8)), codes[at], levels[at])
+    freed(counts)
+    return order
 
 
 def _possible(percent: int, x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
@@ -237,12 +239,13 @@ class Index:
             doc, key, rare, place = index_keys(sets, sets.first_of_class(), order.value, percent)
             return _batch(key=key.view(np.int64), sig=sets.sig[doc], n=sets.size[doc].astype(np.int32), rare=rare.astype(np.int32), place=place.astype(np.int32))
 
-        posts = written(spark, _each_chunk(texts, "key bigint, sig bigint, n int, rare int, place int", entries).distinct(), "jaccard-posts")
+        posts = every = written(spark, _each_chunk(texts, "key bigint, sig bigint, n int, rare int, place int", entries).distinct(), "jaccard-posts")
         # without keys of one class alone, and classes that could not link with the least set of the key
         keys = posts.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("low")).filter("many > 1")
         able = F.col("n") - F.least("place", "rare")
         posts = posts.join(keys, "key").filter(able * (100 + percent) >= percent * (F.col("n") + F.col("low")))
         self.posts = written(spark, posts.drop("many", "low"), "jaccard-able")
+        freed(every)
         wanted = written(spark, self.posts.select("sig").distinct(), "jaccard-wanted")
         mark = spark.sparkContext.broadcast(filter_of(wanted, "sig", size_for(wanted.count())))
 
@@ -259,6 +262,7 @@ class Index:
 
         found = _each_chunk(texts, "sig bigint, n bigint, data binary", fetch).join(wanted, "sig", "left_semi")
         self.sets = written(spark, found.groupBy("sig", "n").agg(F.first("data").alias("data")), "jaccard-sets")
+        freed(wanted)
 
 
 def jaccard_links(docs: DataFrame, percent: int = 75, **options) -> tuple[DataFrame, DataFrame]:
@@ -291,7 +295,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, **options) -> DataFra
 
     # what is not in its hub's component, against what of the key is in another one
     named = posts.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    named = written(spark, named.join(hubs.filter("many > 2").select("key", F.col("sig").alias("hub")), "key"), "jaccard-named")
+    named = labelled = written(spark, named.join(hubs.filter("many > 2").select("key", F.col("sig").alias("hub")), "key"), "jaccard-named")
     of_hub = named.filter("sig = hub").select("key", F.col("label").alias("hub_label"))
     named = written(spark, named.filter("sig != hub").join(of_hub, "key").withColumn("out", F.col("label") != F.col("hub_label")), "jaccard-out")
     differ = (F.col("x.label") != F.col("y.label")) & (~F.col("y.out") | (F.col("x.sig") < F.col("y.sig")))
@@ -304,8 +308,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, **options) -> DataFra
     classes = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("label", "sig").alias("label"))
     classes = written(spark, classes, "jaccard-classes")
     least = classes.groupBy("label").agg(F.min("least").alias("component"))
-    of = classes.join(least, "label").select("sig", "label", "least", "component")
-    return rows.join(written(spark, of, "jaccard-of"), "sig", "left").withColumns({c: F.coalesce(c, "key") for c in ("least", "component")})
+    of = written(spark, classes.join(least, "label").select("sig", "label", "least", "component"), "jaccard-of")
+    freed(posts, index.sets, hubs, tried, links, labelled, named, rest, more, classes)
+    return rows.join(of, "sig", "left").withColumns({c: F.coalesce(c, "key") for c in ("least", "component")})
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
