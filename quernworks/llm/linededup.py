@@ -118,7 +118,9 @@ def drop_repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, **options) ->
                 first = np.append(0, np.cumsum(count))[doc - lo]
                 hit = np.isin(_own(keys, doc), wanted)
                 doc, place = doc[hit], (at - first)[hit]
-                edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
+                if not len(doc):
+                    continue
+                edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
                 for i, gone in zip(doc[edges].tolist(), np.split(place, edges[1:]), strict=True):
                     split, gone = kept[i].split(b"\n"), set(gone.tolist())
                     kept[i] = b"\n".join([x for j, x in enumerate(split) if j not in gone])
