@@ -36,7 +36,7 @@ from ..session import freed, sized, written
 from .bloom import Filter, filter_of, size_for
 from .components import component_labels
 from .tally import buckets_for, counted, cut
-from .textops import Words, chunks, join2, mix, text_buffer, windows
+from .textops import Words, chunks, given_back, join2, mix, text_buffer, windows
 
 LAST = (1 << 63) - 1
 SHINGLE = 5
@@ -143,6 +143,8 @@ def _each_chunk(base: DataFrame, schema: str, make: Callable[[ShingleSets, dict]
             for lo, hi in chunks(offs):
                 sets = ShingleSets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 yield make(sets, {c: batch.column(c).slice(lo, hi - lo) for c in batch.schema.names if c != "text"})
+            buf = offs = sets = batch = None
+        given_back()
 
     return base.mapInArrow(run, schema)
 

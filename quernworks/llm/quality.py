@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import sized, written
-from .textops import SPACE, Words, chunks, hash_slices, lines, mix, text_buffer, windows
+from .textops import SPACE, Words, chunks, given_back, hash_slices, lines, mix, text_buffer, windows
 
 REPEAT_WINDOW = 8
 _SYMBOL = np.zeros(256, bool)
@@ -92,6 +92,8 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
             parts = [_chunk_statistics(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]) for lo, hi in chunks(offs)]
             columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(len(STATISTICS))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "tie"]), *(pa.array(c, pa.int64()) for c in columns)], names=[*keep, "tie", *STATISTICS])
+            buf = offs = parts = columns = batch = None
+        given_back()
 
     return source.mapInArrow(measure, schema)
 

@@ -35,7 +35,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..session import freed, sized, written
 from .bloom import Filter, filter_of, size_for
 from .tally import buckets_for, counted, cut
-from .textops import Words, chunks, join2, text_buffer
+from .textops import Words, chunks, given_back, join2, text_buffer
 
 #: The end of a text, as a word hash.
 END = np.uint64(0xA24BAED4963EE407)
@@ -155,6 +155,8 @@ def _word_counts(train: DataFrame) -> DataFrame:
                     yield _longs(*found.take(), names=["code", "times"])
         if (last := found.take()) is not None:
             yield _longs(*last, names=["code", "times"])
+        del last, found
+        given_back()
 
     return train.mapInArrow(count, "code bigint, times bigint").groupBy("code").agg(F.sum("times").alias("times"))
 
@@ -190,6 +192,8 @@ def _run_counts(train: DataFrame, level: int, below: Filter, expected: int, supp
                     yield _longs(*found.take()[1:], names=["times", "context", "tail"])
         if (last := found.take()) is not None:
             yield _longs(*last[1:], names=["times", "context", "tail"])
+        del last, found
+        given_back()
 
     runs = train.mapInArrow(count, "times bigint, context bigint, tail bigint")
     return runs.groupBy("context", "tail").agg(F.sum("times").alias("times")).filter(F.col("times") >= support)
@@ -522,6 +526,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, most_words: int = 1 <<
             out.append((number, number % (1 << log_buckets), None, packed.getvalue().to_pybytes()))
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["batch", "bucket", "codes", "texts"])
+            out = codes = ats = None
+        given_back()
 
     parts = []
     for turn in range(rounds):

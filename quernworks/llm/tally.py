@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textops import chunks, mix, text_buffer
+from .textops import chunks, given_back, mix, text_buffer
 
 #: Codes that a task counts before it hands counts on; codes that a bucket has on average.
 _TALLY, _BUCKET = 9 << 18, 1 << 21
@@ -58,7 +58,10 @@ def counted(texts: DataFrame, codes: Callable[[np.ndarray, np.ndarray], np.ndarr
                 if size >= _TALLY:
                     yield _parts(parts, log_buckets)
                     parts, size = [], 0
+                    given_back()
         yield _parts(parts, log_buckets)
+        del parts
+        given_back()
 
     def total(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         ints = lambda c: np.frombuffer(b"".join(frame[c]), np.uint32)

@@ -7,6 +7,7 @@ depend on how many texts a chunk holds. Hashes are deterministic and the same on
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,15 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def given_back() -> None:
+    """Returns what a worker has freed to the system: the worker lives on beside the JVM, between its tasks too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def chunks(offs: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts with at most ``most`` bytes each, or one longer text."""
     lo, n = 0, len(offs) - 1
