@@ -86,7 +86,8 @@ def merge_parts(df: DataFrame, keys: list[str], sketch: str, k: int = K, salts:
     Each step explodes to at most k hashes a row and keeps the k smallest distinct ones, counted by
     distinct values, so no key's rows meet in one place before they have been reduced.
     """
-    rows = df.select(*keys, F.explode(sketch).alias("_h")).distinct()
+    # an inner explode would have its sketches not empty by a filter below them, which computes them once more an element
+    rows = df.select(*keys, F.explode_outer(sketch).alias("_h")).filter("_h is not null").distinct()
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_h"), F.lit(salts)))
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy("_h"))).filter(F.col("_r") <= k)
     out = ranked.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list("_h")), 1, k).alias(sketch))

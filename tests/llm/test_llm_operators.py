@@ -583,7 +583,7 @@ def brute_sets(text):
 
 def test_sketches_merge(spark):
     texts = [(1, " ".join(f"a{i}" for i in range(500))), (1, " ".join(f"a{i}" for i in range(300, 900))), (2, "x y")]
-    df = fingerprints.with_sketch(spark.createDataFrame(texts, "k int, text string"), "text", "s")
+    df = fingerprints.with_sketch(spark.createDataFrame(texts, "k int, text string").repartition(2), "text", "s")
     merged = {r.k: r for r in fingerprints.merge_parts(df, ["k"], "s").withColumn("n", fingerprints.distinct_shingles(F.col("s"))).collect()}
     parts = [r.s for r in df.filter("k = 1").collect()]
     assert merged[1].s == sorted(set(parts[0]) | set(parts[1]))[:128] and abs(merged[1].n / 896 - 1) < 0.3 and merged[2].n == 1
